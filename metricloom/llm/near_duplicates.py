@@ -13,10 +13,10 @@ Sets that are equal (128-bit sums of their elements) form a class; only the
 class's smallest document goes on.  BANDS bands of ROWS coordinates make
 bucket keys: two sets of similarity 0.85 share none of them with probability
 (1 - 0.85 ** ROWS) ** BANDS = 2.0e-8.  In a bucket each class is compared with
-one pivot, then with a second one if the bucket still spans several components,
-and at last all pairs of a bucket that lie in different components (one of
-them outside the bucket's largest component) are compared where two bands join
-them at least: a pair of similarity 0.85 has fewer with probability 5.5e-7.
+one pivot, then with a second one if the bucket still spans several components.
+What is left of such buckets is compared exactly, in blocks: classes outside
+the bucket's largest component against all its classes of other components, on
+the full sets, inside a task that returns only links which join components.
 Pairs inside a component are never listed, so a thousand copies cost a thousand
 comparisons and not a million.  Every link is confirmed on the full sets."""
 
@@ -32,6 +32,8 @@ from .common import as_bytes, mix, odd, pair_components, ship, signed, slices, s
 SHINGLE = 5
 ROWS, BANDS = 4, 24
 T = ROWS * BANDS
+#: Classes that one task compares with as many others.
+BLOCK = 500
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -113,6 +115,54 @@ def _ordered(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def _block_links(here: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between unlike components of one bucket of ``here`` (key,
+    id, component), found by comparing blocks of at most about BLOCK classes;
+    of the links that join the same components a block returns one."""
+    count = here.groupBy("key", "component").count()
+    most = count.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
+    blocks = most.select("key", "main", F.ceil(F.col("n") / BLOCK).alias("right"), F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("left"))
+    rows = here.select("key", "id", "component").join(blocks, "key").join(sets, "id")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), n)
+    columns = ["key", "id", "component", "main", "elements"]
+    minor = rows.filter("component <> main").select(*columns, F.lit(True).alias("minor"), own(F.col("left")).alias("i"), every(F.col("right")).alias("j"))
+    other = rows.select(*columns, F.lit(False).alias("minor"), every(F.col("left")).alias("i"), own(F.col("right")).alias("j"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(block):
+        ids, parts = block.column("id").to_pylist(), block.column("component").to_pylist()
+        main, minor = block.column("main")[0].as_py(), np.array(block.column("minor").to_pylist())
+        lists = block.column("elements").combine_chunks()
+        ends = lists.offsets.to_numpy()
+        values = lists.values.to_numpy()
+        member = [values[ends[k] : ends[k + 1]] for k in range(len(ids))]
+        right = np.flatnonzero(~minor)
+        owner = np.repeat(np.arange(len(right)), [len(member[k]) for k in right])
+        elements = np.concatenate([np.empty(0, np.int64), *(member[k] for k in right)])
+        sizes = np.array([len(member[k]) for k in right], np.int64)
+        joined = {c: c for c in parts}
+
+        def find(c):
+            while joined[c] != c:
+                joined[c] = c = joined[joined[c]]
+            return c
+
+        out = []
+        for k in np.flatnonzero(minor).tolist():
+            own = np.sort(member[k])
+            at = np.minimum(np.searchsorted(own, elements), len(own) - 1)
+            both = np.bincount(owner[own[at] == elements], minlength=len(right))
+            for r in np.flatnonzero(100 * both >= percent * (sizes + len(own) - both)).tolist():
+                other = int(right[r])
+                if (parts[other] == main or ids[other] < ids[k]) and (x := find(parts[k])) != (y := find(parts[other])):
+                    joined[max(x, y)] = min(x, y)
+                    out.append((min(ids[k], ids[other]), max(ids[k], ids[other])))
+        return pa.Table.from_arrays([pa.array([p[n] for p in out], pa.int64()) for n in (0, 1)], schema=schema)
+
+    return minor.unionByName(other).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def class_components(documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(id, component) of classes (id, keys) that have a link."""
     rows = written(classes.select("id", F.explode("keys").alias("key")), "bands")
@@ -121,26 +171,18 @@ def class_components(documents: DataFrame, classes: DataFrame, percent: int) ->
     sets = written(_sets(documents, written(buckets.select("id").distinct(), "wanted")), "sets")
     tried = written(buckets.filter("id <> pivot").select(*_ordered(F.col("id"), F.col("pivot"))).distinct(), "pairs")
     links = written(_links(tried, sets, percent), "links")
-    for turn in ("pivot", "all"):
+    for turn in ("pivot", "blocks"):
         reached = pair_components(links)
         here = buckets.select("key", "id").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("id", F.xxhash64("id")).alias("turn")).filter("low < high")
         here = written(here.join(mixed, "key").select("key", "id", "component", "turn"), "mixed")
         if turn == "pivot":
             pairs = here.filter("id <> turn").select(*_ordered(F.col("id"), F.col("turn"))).distinct()
+            more = written(_links(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
         else:
-            most = here.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-            minor = here.join(most, "key").filter("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("own"), "main")
-            # a pair of two minor classes is listed from its smaller one only
-            met = minor.join(here.select("key", "id", "component"), "key").filter("component <> own and (component = main or id < x)")
-            pairs = met.select(*_ordered(F.col("x"), F.col("id"))).groupBy("a", "b").count().filter("count > 1").drop("count")
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        more = written(_links(pairs, sets, percent), "links")
-        if more.isEmpty() and turn == "all":
-            return reached
+            more = written(_block_links(here, sets, percent), "links")
         links = links.unionByName(more)
-    return pair_components(links)
+    return reached if more.isEmpty() else pair_components(links)
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
