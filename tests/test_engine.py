@@ -91,7 +91,7 @@ def test_filters_and_pages(spark, path):
 
 
 def test_zero_and_null_rules(spark, path):
-    got, _ = rows(spark, path, ["current", "three"], month="2026-06")
+    got, _ = rows(spark, path, ["current", "three"], month="2026-05")
     assert got["G", "OTHER", None]["current"] is None  # unobserved
     got, _ = rows(spark, path, ["three", "w"], kpi(measures=kpi()["measures"] | {"w": {"of": "low", "op": "window", "trailing": {"months": 2}}}, base_measures=kpi()["base_measures"] | {"low": {"sql": "amount", "agg": "min"}}), month="2026-05")
     assert got["G", "OTHER", None]["three"] == 6.0 and got["G", "OTHER", None]["w"] is None
