@@ -152,7 +152,7 @@ def identify(documents: DataFrame, text: str = "text", declared: str | None = "l
     odds = F.aggregate("_logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_most")))
     joined = joined.withColumn("_posterior", F.coalesce(1 / odds, F.lit(0.0)))
     name = F.element_at(F.array(*map(F.lit, languages)), F.array_position("_logs", F.col("_most")).cast("int"))
-    return joined.select(*columns, F.coalesce(name, F.lit("und")).alias("language"), F.round("_posterior", 6).alias("posterior"), (F.col("_posterior") >= confidence).alias("kept"))
+    return joined.select(*columns, F.when(F.col("likelihoods").isNotNull(), name).otherwise("und").alias("language"), F.round("_posterior", 6).alias("posterior"), (F.col("_posterior") >= confidence).alias("kept"))
 
 
 def page_parts(pages: DataFrame) -> DataFrame:
