@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix, odd, ship, slices, small, window_hashes, word_hashes, written
+from .common import as_bytes, mix, odd, ship, slices, window_hashes, word_hashes, written
 
 WINDOW = 13
 CORE, BEFORE = 8, 2
@@ -118,9 +118,8 @@ def _parsed(batch: pa.RecordBatch):
 
 
 SYMBOLS = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("names", pa.binary()), ("sure_docs", pa.binary()), ("sure", pa.binary())])
-FOUND = pa.schema([("doc_id", pa.int64()), ("names", pa.binary())])
+BACK = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("values", pa.binary())])
 NAMED = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("name_a", pa.binary()), ("name_b", pa.binary()), ("starts", pa.binary()), ("sure_docs", pa.binary()), ("sure", pa.binary())])
-STARTS = pa.schema([("doc_id", pa.int64()), ("starts", pa.binary())])
 
 
 def _sent(batch: pa.RecordBatch, parts: int, packed: dict[int, list[bytes]], sure: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
@@ -135,11 +134,25 @@ def _met(tables: pa.Table, kinds: dict[str, type]) -> list[np.ndarray]:
     return [np.concatenate([np.empty(0, t), *(np.frombuffer(x, t) for x in tables.column(c).to_pylist() if x)]) for c, t in kinds.items()]
 
 
-def _by_document(ids: np.ndarray, values: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
-    order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order]
-    cut = np.flatnonzero(np.diff(ids)) + 1
-    return _rows([(int(i[0]), v.tobytes()) for i, v in zip(np.split(ids, cut), np.split(values, cut), strict=True) if len(i)], schema)
+def _by_document(ids: np.ndarray, values: np.ndarray, parts: int) -> pa.Table:
+    """Values on their way to their documents: one row for each hash range of
+    documents, however many documents there are."""
+    packed = _packed(_ranges(mix(ids.view(np.uint64)), parts), [ids, values])
+    return pa.Table.from_batches([_rows([(part, *fields) for part, fields in packed.items()], BACK)], BACK)
+
+
+def _gathered(df: DataFrame, kind: type, name: str) -> DataFrame:
+    """(doc_id, name): one row for each document, its values packed."""
+    schema = pa.schema([("doc_id", pa.int64()), (name, pa.binary())])
+
+    def gather(rows):
+        ids, values = _met(rows, {"docs": np.int64, "values": kind})
+        order = np.argsort(ids, kind="stable")
+        ids, values = ids[order], values[order]
+        cut = np.flatnonzero(np.diff(ids)) + 1
+        return pa.Table.from_batches([_rows([(int(i[0]), v.tobytes()) for i, v in zip(np.split(ids, cut), np.split(values, cut), strict=True) if len(i)], schema)], schema)
+
+    return written(df.groupBy("part").applyInArrow(gather, f"doc_id long, {name} binary"), name)
 
 
 def covered_words(documents: DataFrame, parts: int) -> DataFrame:
@@ -175,17 +188,18 @@ def covered_words(documents: DataFrame, parts: int) -> DataFrame:
             keep = _each(first, np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first), len(ids))
             part = np.uint64(tables.column("part")[0].as_py())
             sure_ids, sure = np.r_[sure_ids, ids[keep]], np.r_[sure, names[keep].astype(np.uint64) | part << np.uint64(32)]
-        return pa.Table.from_batches([_by_document(sure_ids, sure, FOUND)], FOUND)
+        return _by_document(sure_ids, sure, parts)
 
-    found = written(docs.mapInArrow(symbols, "part int, docs binary, names binary, sure_docs binary, sure binary").groupBy("part").applyInArrow(shared, "doc_id long, names binary"), "shared")
-    found = written(found.groupBy("doc_id").agg(F.collect_list("names").alias("names")), "shared")
+    back = "part int, docs binary, values binary"
+    sent = docs.mapInArrow(symbols, "part int, docs binary, names binary, sure_docs binary, sure binary")
+    found = _gathered(sent.groupBy("part").applyInArrow(shared, back), np.uint64, "names")
 
     def named(batches):
         for batch in slices(batches, "text"):
             ids, hi, lo, starts = [], [], [], []
             want = batch.column("names").to_pylist()
             for row, doc, _, hashes in _parsed(batch):
-                keys = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in want[row]]))
+                keys = np.unique(np.frombuffer(want[row], np.uint64))
                 own = np.flatnonzero(np.isin(_short(anchors(hashes)[1], parts), keys))
                 ids.append(np.full(len(own), doc, np.int64))
                 hi.append(window_hashes(hashes, WINDOW, 2)[own])
@@ -208,11 +222,11 @@ def covered_words(documents: DataFrame, parts: int) -> DataFrame:
             ids, starts = ids[order], starts[order]
             more = ids > _each(first, np.minimum.reduceat(ids, first), len(ids))
             sure_ids, sure = np.r_[sure_ids, ids[more]], np.r_[sure, starts[more]]
-        return pa.Table.from_batches([_by_document(sure_ids, sure, STARTS)], STARTS)
+        return _by_document(sure_ids, sure, parts)
 
-    met = docs.join(small(found, 1000), "doc_id").mapInArrow(named, "part int, docs binary, name_a binary, name_b binary, starts binary, sure_docs binary, sure binary")
-    out = written(met.groupBy("part").applyInArrow(later, "doc_id long, starts binary"), "later")
-    return written(out.groupBy("doc_id").agg(F.collect_list("starts").alias("starts")), "later")
+    # joined by a shuffle at every size: names and starts grow with the texts
+    met = docs.join(found, "doc_id").mapInArrow(named, "part int, docs binary, name_a binary, name_b binary, starts binary, sure_docs binary, sure binary")
+    return _gathered(met.groupBy("part").applyInArrow(later, back), np.uint32, "starts")
 
 
 def drop_repeats(documents: DataFrame, parts: int | None = None) -> DataFrame:
@@ -225,9 +239,9 @@ def drop_repeats(documents: DataFrame, parts: int | None = None) -> DataFrame:
     empty kept_text; rows with a null id are kept whole and remove nothing; rows
     that share an id count as one document's parts (none removes from another)
     and each loses the words that a smaller id covers.  ``parts``: hash ranges
-    of the rounds; by default eight for each shuffle partition."""
+    of the rounds; by default one for each shuffle partition."""
     spark = ship(documents.sparkSession)
-    parts = parts or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     starts = covered_words(documents, parts)
     names = [c for c in documents.columns if c not in ("n_words", "n_removed", "kept_text", "starts")]
     schema = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
@@ -239,7 +253,7 @@ def drop_repeats(documents: DataFrame, parts: int | None = None) -> DataFrame:
                 words = text.split() if text else []
                 if got:
                     edge = np.zeros(len(words) + WINDOW, np.int32)
-                    at = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in got]))
+                    at = np.unique(np.frombuffer(got, np.uint32))
                     at = at[at + WINDOW <= len(words)]
                     edge[at] += 1
                     edge[at + WINDOW] -= 1
@@ -251,7 +265,7 @@ def drop_repeats(documents: DataFrame, parts: int | None = None) -> DataFrame:
             extra = _rows(out, schema)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *extra.columns], names=[*names, *schema.names])
 
-    joined = documents.select(*names).join(small(starts, 400), "doc_id", "left")
+    joined = documents.select(*names).join(starts, "doc_id", "left")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in names)
     return joined.mapInArrow(cut, f"{kinds}, n_words long, n_removed long, kept_text string")
 
