@@ -39,7 +39,7 @@ FRAME = 1 << 18
 LEVEL = 3
 END_ID = 2
 #: Words of one Python worker's table.
-WORDS = 600_000
+WORDS = 1_500_000
 
 
 class Encoder:
