@@ -105,9 +105,11 @@ def test_parameters_choose(spark, path):
 
 
 def test_pushdown(spark, path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     df = api.compute_df(context(path, ["current", "previous"]), spark=spark, kpi=kpi(), model=MODEL)
-    plan = df._jdf.queryExecution().toString()
-    assert "GreaterThanOrEqual(event_month,2025-03-01)" in plan and "LessThan(event_month,2026-04-01)" in plan
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(event_month,2025-03-01)" in pushed and "LessThan(event_month,2026-04-01)" in pushed
 
 
 def test_errors(spark, path):
