@@ -38,8 +38,9 @@ INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F
 FRAME = 1 << 18
 LEVEL = 3
 END_ID = 2
-#: Words of one Python worker's table.
-WORDS = 1_500_000
+#: Words of one Python worker's table, words that the library encodes at once
+#: and bytes of text that are split at once.
+WORDS, AT_ONCE, SLICE = 1_000_000, 4_096, 2 << 20
 
 
 class Encoder:
@@ -60,9 +61,10 @@ class Encoder:
             self.words.clear()
         known = self.words
         fresh = list({w for words in split for w in words if w not in known})
-        if fresh:
-            got = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(fresh, got, strict=True))
+        for a in range(0, len(fresh), AT_ONCE):
+            part = fresh[a : a + AT_ONCE]
+            got = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
         return [b"".join([known[w] for w in words]) for words in split]
 
 
@@ -183,7 +185,7 @@ def write_documents(documents: DataFrame, path: str, folder: str, end_id: int =
         from pyspark import TaskContext
 
         writer, coder, n = None, encoder(path), 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             if writer is None:
                 part = TaskContext.get().partitionId()
                 uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids.zst"
