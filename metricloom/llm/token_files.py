@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, shared_dir, ship, slices, table, written
+from .common import as_bytes, shared_dir, ship, slices, small, table, written
 
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME = 1 << 18
@@ -249,7 +249,8 @@ def token_files(documents: DataFrame, path: str, folder: str | None = None, end_
 
     ahead = blocks.groupBy("block").agg(F.sum("n_ids").alias("n_ids")).select("block", before(Window.orderBy("block")).alias("block_start"))
     starts = blocks.withColumn("in_block", before(Window.partitionBy("block").orderBy("part"))).join(ahead, "block").select("part", "file", (F.col("block_start") + F.col("in_block")).alias("file_start"))
-    docs = read_documents(files).join(starts, "part")
+    # the files' starts may be broadcast, the documents never
+    docs = read_documents(files).join(small(written(starts, "starts"), 300), "part")
     return docs.select("doc_id", (F.col("file_start") + F.col("ids_before")).alias("start"), "n_tokens", "ids_crc32", "file", "place")
 
 
