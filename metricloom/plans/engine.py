@@ -646,7 +646,12 @@ class CutPlan:
         df = df.select(*[F.col(f"`{d}`") for d in self.dims], *self._raw(df), *[c.alias(f"m__{k}") for k, c in self.pending.items()])
         if tests:
             df = df.filter(functools.reduce(operator.or_ if having.get("match") == "any" else operator.and_, tests))
+        for key in wanted:
+            if e.specs[key].get("from_cut", self.spec["name"]) != self.spec["name"]:
+                df = self._from_cut(df, key)
         for key in self.cut_phase:
+            if self._versus(e.specs[key]):
+                df = df.crossJoin(F.broadcast(self._other(e.specs[key]["versus_cut"]).total(key)))  # one row
             df = df.withColumn(f"m__{key}", self._cut_value(key, e.specs[key]))
         for key in wanted:
             if e.specs[key].get("having"):
@@ -658,6 +663,43 @@ class CutPlan:
             df = df.dropna("all", subset=[k for k in wanted if k not in self.dims])
         return df
 
+    @staticmethod
+    def _versus(spec: dict) -> bool:
+        """Other cut operators accept versus_cut without effect."""
+        return bool(spec.get("versus_cut")) and spec["op"] in ("percent_of_total", "contribution")
+
+    def _other(self, name: str) -> CutPlan:
+        if name not in self.e.cuts:
+            raise BindError(f"no cut {name!r}")
+        return CutPlan(self.e, self.e.cuts[name])
+
+    def _early(self, name) -> Column:
+        if self._late(name):
+            raise BindError(f"{name!r} is known only once its cut is finished")
+        return self.value(name)
+
+    def total(self, key: str) -> DataFrame:
+        """One row: the sum of a cut operator's source over this cut's groups."""
+        spec, having = self.e.specs[key], self.e.kpi.get("having")
+        value = self._early(spec["of"]) - (self._early(spec["vs"]) if spec["op"] == "contribution" else F.lit(0.0))
+        tests = [self._predicate(p, ()) for p in having["predicates"]] if having else []
+        df = self.grouped()
+        if tests:
+            df = df.filter(functools.reduce(operator.or_ if having.get("match") == "any" else operator.and_, tests))
+        return df.agg(F.sum(value).alias(f"t__{key}"))
+
+    def _from_cut(self, df: DataFrame, key: str) -> DataFrame:
+        """A measure's value replaced by that of a coarser cut's group."""
+        if self.e.specs[key]["op"] in (*CUT_OPS, *TREND_OPS):
+            raise BindError(f"{key!r}: from_cut needs a scalar measure")
+        other = self._other(self.e.specs[key]["from_cut"])
+        if not set(other.dims) <= set(self.dims):
+            raise BindError(f"{key!r}: cut {other.spec['name']!r} is finer than {self.spec['name']!r}")
+        value = other._early(key)
+        coarse = other.grouped().select(*[F.col(f"`{d}`").alias(f"k__{d}") for d in other.dims], value.alias("_coarse"))
+        on = functools.reduce(operator.and_, [F.col(f"`{d}`").eqNullSafe(F.col(f"`k__{d}`")) for d in other.dims], F.lit(True))
+        return df.join(coarse, on, "left").withColumn(f"m__{key}", F.col("_coarse")).drop("_coarse", *[f"k__{d}" for d in other.dims])
+
     def _raw(self, df: DataFrame) -> list[Column]:
         return [F.col(c) for c in df.columns if c not in self.dims and c != "_one"]
 
@@ -686,6 +728,8 @@ class CutPlan:
         part = part if len(part) < len(self.dims) else []
         ties = [F.col(f"`{d}`").asc_nulls_last() for d in self.dims]
         extra = dict(spec)
+        if self._versus(spec):
+            extra["total"] = F.col(f"`t__{key}`")
         extra["order_by"] = [held(o["key"] if isinstance(o, dict) else o).desc_nulls_last() for o in spec.get("order_by", [])]
         return CUT_OPS[spec["op"]](Cut(v, part, ties, extra))
 

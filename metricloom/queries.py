@@ -323,6 +323,26 @@ _JUNE = "l_shipdate >= DATE '1998-06-01' AND l_shipdate < DATE '1998-07-01'"
 add("cuts_ignore_filters", _cuts, f"SELECT 'G' AS output_cut, l_returnflag, NULL AS l_linestatus, sum(l_quantity) AS cur FROM lineitem WHERE {_JUNE} GROUP BY 2 UNION ALL SELECT 'R', l_returnflag, l_linestatus, sum(l_quantity) FROM lineitem WHERE {_JUNE} AND l_linestatus = 'O' GROUP BY 2, 3")
 add("having", lambda s, d: metric(s, d, CURRENT, ["cur"], having={"predicates": [{"of": "cur", "cmp": ">", "vs": "old"}]}).select("l_returnflag", "cur"), f"{MONTHLY} SELECT g AS l_returnflag, {NOW} AS cur FROM m GROUP BY g HAVING {NOW} > {YEAR}")
 
+
+
+def _between_cuts(measures: dict) -> Query:
+    """The finer cut reads the wider one, which ignores the request's filter."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        kpi = {"kpi_id": 1, "time": {"column": "l_shipdate", "grain": "month", "filter_code": "month"}, "dimensions": [{"name": "l_returnflag"}, {"name": "l_linestatus"}], "default_dimensions": ["l_returnflag"], "base_measures": BASES, "measures": CURRENT | measures, "cuts": [{"name": "R", "group_by": ["l_linestatus"]}, {"name": "G", "ignore_filters": ["l_linestatus"]}], "default_cut": "R"}
+        out = compute_df(context(d, ["cur", "value"], filters={"l_linestatus": {"value": ["O"]}}), spark=spark, kpi=kpi, model=MODEL)
+        return out.select("l_returnflag", "l_linestatus", "cur", F.round("value", 6).alias("value"))
+
+    return run
+
+
+def _between_sql(value: str) -> str:
+    return f"SELECT l_returnflag, l_linestatus, sum(l_quantity) AS cur, round({value}, 6) AS value FROM lineitem WHERE {_JUNE} AND l_linestatus = 'O' GROUP BY 1, 2"
+
+
+add("cut_versus_cut", _between_cuts({"value": {"op": "percent_of_total", "of": "cur", "versus_cut": "G"}}), _between_sql(f"sum(l_quantity) * 100 / (SELECT sum(l_quantity) FROM lineitem WHERE {_JUNE})"))
+add("cut_from_cut", _between_cuts({"value": {"of": "qty", "op": "point", "from_cut": "G", "cuts": ["R"]}}), _between_sql(f"(SELECT sum(w.l_quantity) FROM lineitem AS w WHERE w.l_returnflag = lineitem.l_returnflag AND {_JUNE.replace('l_shipdate', 'w.l_shipdate')})"))
+
 # -- entity windows ----------------------------------------------------------
 
 _W = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"

@@ -104,6 +104,15 @@ def test_parameters_choose(spark, path):
     assert rows(spark, path, ["picked"], spec, parameters={"which": "b"})[0]["G", "LATE", None]["picked"] == 15
 
 
+def test_values_of_other_cuts(spark, path):
+    spec = kpi(default_cut="R")
+    spec["measures"] |= {"share": {"op": "percent_of_total", "of": "current", "versus_cut": "G"}, "wide": {"of": "value", "op": "point", "from_cut": "G", "cuts": ["R"]}, "fine": {"of": "value", "op": "point", "from_cut": "R", "cuts": ["G"]}}
+    got, _ = rows(spark, path, ["share", "wide"], spec, filters={"region": {"values": ["EU"]}})
+    assert got["R", "LATE", "EU"]["wide"] == 45 and got["R", "LATE", "EU"]["share"] == pytest.approx(15 * 100 / 51)
+    with pytest.raises(BindError):
+        rows(spark, path, ["fine"], spec | {"default_cut": "G"})
+
+
 def test_pushdown(spark, path):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     df = api.compute_df(context(path, ["current", "previous"]), spark=spark, kpi=kpi(), model=MODEL)
