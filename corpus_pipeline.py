@@ -14,6 +14,11 @@ from metricloom.llm.common import shared_dir, small, table, written
 from metricloom.llm.queries import vocabulary
 
 
+#: Similarity of five-word shingle sets, in percent, from which near_dedup takes
+#: two documents for one (op9_near_duplicates itself has 85).
+NEAR_PERCENT = 80
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` whose doc_id isn't in ``gone``."""
     return docs.join(small(written(gone.select("doc_id").distinct(), "gone"), 16), "doc_id", "left_anti").select(*docs.columns)
@@ -28,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near duplicates (rows that repeat
     one doc_id count once)."""
-    found = near_duplicates.near_duplicates(docs)
+    found = near_duplicates.near_duplicates(docs, percent=NEAR_PERCENT)
     return _without(docs, found.filter("not kept")).dropDuplicates(["doc_id"])
 
 

@@ -255,3 +255,16 @@ def test_pipeline_stages(spark, tmp_path):
     for r in sorted(out, key=lambda r: r.doc_id):
         assert r.start == total
         total += r.n_tokens
+
+
+def test_near_dedup_takes_pairs_at_080(spark, tmp_path):
+    import corpus_pipeline
+
+    words = [f"v{i}" for i in range(104)]  # 100 shingles
+    near = [*words[:50], "other", *words[51:]]  # 95 of 105: 0.905
+    mid = [*words[:30], "other", *words[31:70], "more", *words[71:]]  # 90 of 110: 0.818
+    docs = frame(spark, [" ".join(w) for w in (words, near)])
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [0]
+    docs = frame(spark, [" ".join(w) for w in (words, mid)])
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [0]
+    assert all(r.kept for r in near_duplicates.near_duplicates(docs).collect())
