@@ -3,13 +3,19 @@
 
 Documents are cells of source, language and topic, a cell's size is its tokens.
 Raking multiplies cell weights until the weighted tokens of each margin have
-their target shares; a document is then kept with its cell's calibrated
-probability, decided by a hash of its id, so that a repeated run keeps the same
-ones.  Cells and margins are tables: each step is a grouped aggregation and a
-join, whatever the number of sources."""
+their target shares.  The scale is set by the share of all tokens to keep, not
+by any cell: a margin's value can't give more than it has, so values whose goal
+is beyond that are kept whole and the others share what is missing; weights
+beyond 1 are cut to 1 and the other cells of the margin are raked again.  A
+document is then kept with its cell's calibrated probability, decided by a hash
+of its id, so that a repeated run keeps the same ones.  Cells and margins are
+tables: each step is a grouped aggregation and a join, whatever the number of
+sources."""
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +25,13 @@ from .common import small, written
 #: 1 leaves the mixture as it is, 0 makes all values equal.
 SOURCE_POWER, LANGUAGE_POWER, TOPIC_POWER = 0.7, 0.8, 1.0
 ROUNDS, TOLERANCE = 20, 1e-6
+#: Share of all tokens that is kept.
+KEPT = 0.75
+#: A margin's kept tokens that are off the target by more than this share of it
+#: are reported.
+OFF = 0.01
 MARGINS = ("source", "lang", "topic")
+LOG = logging.getLogger(__name__)
 
 
 def topic(text: Column) -> Column:
@@ -62,28 +74,89 @@ def raked(cells: DataFrame, wanted: DataFrame, rounds: int = ROUNDS, tolerance:
     return cells
 
 
-def mix(documents: DataFrame, powers: dict[str, float] | None = None, wanted: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+def goals(cells: DataFrame, wanted: DataFrame, kept: float) -> DataFrame:
+    """(margin, value, tokens, target, goal): goal is the tokens to keep of each
+    value, min(tokens, level * target), with the margin's level such that they
+    sum to ``kept`` of all tokens."""
+    have = None
+    for margin in MARGINS:
+        sums = cells.groupBy(F.lit(margin).alias("margin"), F.col(margin).alias("value")).agg(F.sum("tokens").alias("tokens"))
+        have = sums if have is None else have.unionByName(sums)
+    have = written(have.join(wanted, ["margin", "value"]), "margins")
+    level = dict.fromkeys(MARGINS, 0.0)
+    while True:
+        at = F.create_map(*[x for m in MARGINS for x in (F.lit(m), F.lit(level[m]))])[F.col("margin")]
+        free = F.col("tokens") > at * F.col("target")
+        rows = have.groupBy("margin").agg(F.sum("tokens").alias("all"), F.sum(F.when(free, 0).otherwise(F.col("tokens"))).alias("whole"), F.sum(F.when(free, F.col("target")).otherwise(0.0)).alias("share")).collect()  # one row a margin
+        # each turn keeps more values whole; the level only rises
+        new = level | {r.margin: max(level[r.margin], (kept * r["all"] - r.whole) / r.share) for r in rows if r.share > 0}
+        if all(new[m] <= level[m] * (1 + 1e-12) for m in MARGINS):
+            return have.withColumn("goal", F.least(F.col("tokens").cast("double"), at * F.col("target")))
+        level = new
+
+
+def rates(cells: DataFrame, goal: DataFrame, kept: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with probability, at most 1, raked
+    from the same one everywhere: expected tokens meet each margin's goal, as far as its cells have them."""
+    cells = cells.select(*MARGINS, "tokens", F.lit(float(kept)).alias("probability"))
+    cells = written(cells, "cells")
+    for _ in range(rounds):
+        before = cells
+        for margin in MARGINS:
+            own = goal.filter(F.col("margin") == margin).select(F.col("value").alias(margin), "goal")
+            full = F.col("probability") >= 1
+            have = cells.groupBy(margin).agg(F.sum(F.col("probability") * F.col("tokens")).alias("have"), F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("full"))
+            # more can only come from cells that aren't full; less from all
+            more = (F.col("goal") - F.col("full")) / (F.col("have") - F.col("full"))
+            factor = F.when(F.col("goal") <= F.col("have"), F.col("goal") / F.col("have")).when(F.col("have") > F.col("full"), more).otherwise(1.0)
+            factors = have.filter("have > 0").join(own, margin).select(margin, factor.alias("factor"))
+            cells = cells.join(factors, margin).withColumn("probability", F.least(F.lit(1.0), F.col("probability") * F.col("factor"))).drop("factor")
+        cells = written(cells.select(*before.columns), "cells")
+        moved = cells.join(before.select(*MARGINS, F.col("probability").alias("was")), list(MARGINS)).agg(F.max(F.abs(F.col("probability") - F.col("was")))).first()[0]
+        if moved is None or moved < tolerance:
+            break
+    return cells
+
+
+def unmet(cells: DataFrame, goal: DataFrame, kept: float, off: float = OFF) -> DataFrame:
+    """(margin, value, tokens, target, share) of the margins' values whose share
+    of the expected tokens is off the target by more than ``off`` of it."""
+    out = None
+    for margin in MARGINS:
+        got = cells.groupBy(F.lit(margin).alias("margin"), F.col(margin).alias("value")).agg(F.sum(F.col("probability") * F.col("tokens")).alias("got"), F.sum("tokens").alias("own"))
+        out = got if out is None else out.unionByName(got)
+    whole = out.groupBy("margin").agg((F.sum("own") * kept).alias("whole"))
+    out = out.drop("own").join(goal, ["margin", "value"]).join(F.broadcast(whole), "margin").withColumn("share", F.col("got") / F.col("whole"))
+    return out.filter(F.abs(F.col("share") - F.col("target")) > off * F.col("target")).select("margin", "value", "tokens", "target", "share")
+
+
+def mix(documents: DataFrame, powers: dict[str, float] | None = None, wanted: DataFrame | None = None, rounds: int = ROUNDS, kept: float = KEPT) -> DataFrame:
     """``documents`` (doc_id, text, source, lang, ...) with topic, n_tokens
     (words), probability and sampled; columns of these names are replaced.
 
-    probability is the cell's weight over the largest cell weight, so that the
-    rarest kind is kept whole and kept tokens have the target shares in
-    expectation.  ``wanted``: (margin, value, target); by default powers of the
+    ``kept`` of all tokens are kept in expectation, with the target shares of
+    each margin; a value that has less than its target asks is kept whole and
+    the others share the rest.  Margins that miss their target are logged.
+    ``wanted``: (margin, value, target); by default powers of the
     present shares.  Null sources and languages are the value ''.  A document
     without words says nothing about margins and has probability 1 if its cell
     has no words at all.  Rows that repeat share one decision; null ids too."""
-    kept = [c for c in documents.columns if c not in ("topic", "n_tokens", "probability", "sampled")]
+    names = [c for c in documents.columns if c not in ("topic", "n_tokens", "probability", "sampled")]
     text = F.coalesce("text", F.lit(""))
     n_tokens = F.regexp_count(text, F.lit("[^ \\t-\\r]+")).cast("long")
-    rows = documents.select(*kept, topic(text).alias("topic"), n_tokens.alias("n_tokens"))
+    rows = documents.select(*names, topic(text).alias("topic"), n_tokens.alias("n_tokens"))
     cell = [F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("topic")]
     cells = written(rows.groupBy(*cell).agg(F.sum("n_tokens").alias("tokens")), "cells").filter("tokens > 0")
     goal = wanted if wanted is not None else targets(cells, powers or {"source": SOURCE_POWER, "lang": LANGUAGE_POWER, "topic": TOPIC_POWER})
-    weights = raked(cells, goal, rounds)
-    top = weights.agg(F.max("weight").alias("top"))  # one row
-    rates = written(weights.crossJoin(F.broadcast(top)).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], (F.col("weight") / F.col("top")).alias("probability")), "rates")
+    goal = written(goals(cells, written(goal, "targets"), kept), "goals")
+    chances = rates(cells, goal, kept, rounds)
+    missed = written(unmet(chances, goal, kept), "unmet")
+    if n := missed.count():
+        worst = missed.orderBy(F.desc(F.abs(F.col("share") - F.col("target")))).limit(10).collect()
+        LOG.warning("%d values miss their target share of tokens; furthest: %s", n, [(r.margin, r.value, round(r.target, 6), round(r.share, 6)) for r in worst])
+    chances = written(chances.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "probability"), "rates")
     fits = (F.coalesce("source", F.lit("")) == F.col("_source")) & (F.coalesce("lang", F.lit("")) == F.col("_lang")) & (F.col("topic") == F.col("_topic"))
-    joined = rows.join(small(rates, 120), fits, "left")
+    joined = rows.join(small(chances, 120), fits, "left")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     probability = F.coalesce("probability", F.lit(1.0))
-    return joined.select(*kept, "topic", "n_tokens", F.round(probability, 9).alias("probability"), (chance < probability).alias("sampled"))
+    return joined.select(*names, "topic", "n_tokens", F.round(probability, 9).alias("probability"), (chance < probability).alias("sampled"))

@@ -268,3 +268,13 @@ def test_near_dedup_takes_pairs_at_080(spark, tmp_path):
     docs = frame(spark, [" ".join(w) for w in (words, mid)])
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [0]
     assert all(r.kept for r in near_duplicates.near_duplicates(docs).collect())
+
+
+def test_mixing_outlier_leaves_the_scale(spark, caplog):
+    text = lambda n: " ".join(f"w{i}" for i in range(n))
+    rows = [(i, text(100), "en" if i % 3 else "de", f"s{i % 4}") for i in range(400)] + [(400, text(20), "es", "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs).collect()
+    total = sum(r.n_tokens for r in got)
+    assert abs(sum(r.probability * r.n_tokens for r in got) - mixing.KEPT * total) < 0.01 * total
+    assert [r.probability for r in got if r.source == "alone"] == [1.0] and "('source', 'alone'" in caplog.text
