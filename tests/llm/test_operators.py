@@ -278,3 +278,12 @@ def test_mixing_outlier_leaves_the_scale(spark, caplog):
     total = sum(r.n_tokens for r in got)
     assert abs(sum(r.probability * r.n_tokens for r in got) - mixing.KEPT * total) < 0.01 * total
     assert [r.probability for r in got if r.source == "alone"] == [1.0] and "('source', 'alone'" in caplog.text
+
+
+def test_quality_rejects_with_few_labels(spark):
+    clean = lambda i: " ".join(f"w{(i * 37 + k * k) % 3001}" for k in range(60))
+    rows = [(i, clean(i) if i % 8 else clean(i).replace(" ", " ## "), "de") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, int(i % 8 > 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")  # 350 good ones
+    kept = {r.doc_id for r in quality.judged(df, marks).filter("kept").collect()}
+    assert not any(i % 8 == 0 for i in kept) and len(kept) >= 343
