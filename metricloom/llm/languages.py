@@ -10,8 +10,10 @@ Each document brings up to four pieces of evidence, combined as log odds:
 * its host: a prior smoothed towards the suffix's, which is smoothed towards
   that of all documents.
 
-The text model is fitted on TRAIN documents at most of each declared language;
-tables and priors are grouped aggregations over all documents."""
+The languages are those that LEAST_DOCS of all documents declare.  The text
+model is fitted on about TRAIN distinct texts of each declared language (all,
+if it has fewer); tables and priors are grouped aggregations over all
+documents."""
 
 from __future__ import annotations
 
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, ship, slices, small, written
 
-#: Most training documents in all (chosen by a hash of the id), languages that
-#: are modelled, and training documents that a language needs.
-TRAIN, LANGUAGES, LEAST_DOCS = 20_000, 64, 5
+#: Distinct training texts of each language, as expected (those of least hash),
+#: and documents that a language needs.
+TRAIN, LEAST_DOCS = 20_000, 5
 BITS = 16
 #: Weight of a trigram's log likelihood ratio, and the sum's bound: text alone
 #: says at most so much.
@@ -53,12 +55,19 @@ def trigrams(text: bytes) -> np.ndarray:
 
 def fit(documents: DataFrame, text: str, declared: str) -> tuple[list[str], np.ndarray]:
     """Languages (sorted) and log likelihoods [trigram, language].  The counts
-    that reach the driver are at most 2 ** BITS for each modelled language."""
+    that reach the driver are at most 2 ** BITS for each language; the model has
+    2 ** BITS values of four bytes for each."""
     ship(documents.sparkSession)
-    chosen = documents.filter(F.col(declared).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("text"), F.col(declared).alias("declared"))
-    chosen = written(chosen.orderBy(F.xxhash64("text", "declared")).limit(TRAIN), "training")
-    most = chosen.groupBy("declared").count().filter(F.col("count") >= LEAST_DOCS).orderBy(F.desc("count"), "declared").limit(LANGUAGES)
-    languages = sorted(r[0] for r in most.collect())
+    every = documents.filter(F.col(declared).isNotNull() & (F.length(text) > 0)).select(F.col(declared).alias("declared"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    # copies of a text are counted once in ``texts``, each in ``docs``
+    sizes = every.groupBy("declared", "hash").agg(F.count("*").alias("n")).groupBy("declared").agg(F.sum("n").alias("docs"), F.count("*").alias("texts"))
+    sizes = written(sizes.filter(F.col("docs") >= LEAST_DOCS), "languages")
+    languages = sorted(r[0] for r in sizes.select("declared").collect())
+    # a number in [0, 1) from the hash: a fixed share of a language's texts lies below the bound
+    place = F.shiftrightunsigned("hash", 11) / float(1 << 53)
+    shares = sizes.select("declared", (F.lit(float(TRAIN)) / F.col("texts")).alias("share"))
+    chosen = every.join(F.broadcast(shares), "declared").filter(place < F.col("share"))
+    chosen = chosen.groupBy("declared", "hash").agg(F.first("text").alias("text")).select("declared", "text")
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
@@ -70,7 +79,7 @@ def fit(documents: DataFrame, text: str, declared: str) -> tuple[list[str], np.n
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "gram", "n"])
 
-    sums = chosen.filter(F.col("declared").isin(languages)).repartition(8).mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = chosen.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = np.full((1 << BITS, max(1, len(languages))), 0.5)
     got = sums.toArrow()
     where = {lang: i for i, lang in enumerate(languages)}
@@ -82,7 +91,7 @@ def scored(documents: DataFrame, languages: list[str], model: np.ndarray, text:
     """``documents`` without the text, with likelihoods (bounded log ratios to
     the best language; null without letters)."""
     ship(documents.sparkSession)
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS rows, at most LANGUAGES columns
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS rows, a column a language
     names = [c for c in documents.columns if c != text]
 
     def run(batches):

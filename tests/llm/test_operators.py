@@ -287,3 +287,11 @@ def test_quality_rejects_with_few_labels(spark):
     marks = spark.createDataFrame([(i, int(i % 8 > 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")  # 350 good ones
     kept = {r.doc_id for r in quality.judged(df, marks).filter("kept").collect()}
     assert not any(i % 8 == 0 for i in kept) and len(kept) >= 343
+
+
+def test_rare_language_is_modelled(spark, monkeypatch):
+    monkeypatch.setattr(languages, "TRAIN", 40)
+    rows = [(i, f"the quick brown fox number {'abcdefghij'[i % 10]} {'klmnopqrst'[i // 10 % 10]} {'uvwxyzabcd'[i // 100]} jumps", "en") for i in range(990)]
+    rows += [(1000 + i, f"der schnelle braune fuchs {'abcdefghij'[i]} springt", "de") for i in range(6)] + [(2000 + i, "el zorro salta", "es") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert languages.fit(docs, "text", "lang")[0] == ["de", "en", "es"]
