@@ -140,7 +140,8 @@ def mix(documents: DataFrame, powers: dict[str, float] | None = None, wanted: Da
     ``wanted``: (margin, value, target); by default powers of the
     present shares.  Null sources and languages are the value ''.  A document
     without words says nothing about margins and has probability 1 if its cell
-    has no words at all.  Rows that repeat share one decision; null ids too."""
+    has no words at all.  Rows that repeat share one decision; a
+    null id is decided by its text."""
     names = [c for c in documents.columns if c not in ("topic", "n_tokens", "probability", "sampled")]
     text = F.coalesce("text", F.lit(""))
     n_tokens = F.regexp_count(text, F.lit("[^ \\t-\\r]+")).cast("long")
@@ -157,6 +158,6 @@ def mix(documents: DataFrame, powers: dict[str, float] | None = None, wanted: Da
     chances = written(chances.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "probability"), "rates")
     fits = (F.coalesce("source", F.lit("")) == F.col("_source")) & (F.coalesce("lang", F.lit("")) == F.col("_lang")) & (F.col("topic") == F.col("_topic"))
     joined = rows.join(small(chances, 120), fits, "left")
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit("mix"))).otherwise(F.xxhash64("doc_id", F.lit("mix"))), F.lit(1 << 30)) / float(1 << 30)
     probability = F.coalesce("probability", F.lit(1.0))
     return joined.select(*names, "topic", "n_tokens", F.round(probability, 9).alias("probability"), (chance < probability).alias("sampled"))

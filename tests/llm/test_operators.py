@@ -295,3 +295,18 @@ def test_rare_language_is_modelled(spark, monkeypatch):
     rows += [(1000 + i, f"der schnelle braune fuchs {'abcdefghij'[i]} springt", "de") for i in range(6)] + [(2000 + i, "el zorro salta", "es") for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert languages.fit(docs, "text", "lang")[0] == ["de", "en", "es"]
+
+
+def test_stages_keep_rows_of_null_and_shared_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    text = lambda seed: " ".join(f"{'abcdefghijklmnop'[(seed * 7 + k * k * seed + k) % 16]}{'klmnopqrstuvwxyz'[k % 16]}on{'abcdef'[seed % 6]}" for k in range(60))
+    rows = [(1, text(1)), (2, text(1)), (3, text(3)), (3, text(4)), (3, text(4)), (3, text(1)), (None, text(5)), (None, text(6)), (None, text(6)), (None, text(3)), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = sorted(((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_dedup(spark, docs, "").collect()))
+    assert got == sorted([(1, text(1)), (3, text(3)), (3, text(4)), (0, text(5)), (0, text(6)), (0, "")])
+    named = corpus_pipeline.language_id(spark, docs, "").collect()
+    assert len(named) == len(rows) - 1 and all(r.text for r in named)
+    spark.createDataFrame([(1, text(6))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert len(clean) == len(rows) - 2 and all(r.text != text(6) for r in clean)
