@@ -19,8 +19,12 @@ from .common import small, written
 WINDOW = 8
 #: Aligned windows that flag a document: six make thirteen words in a row.
 LEAST = 6
-#: Windows with more placeholders than this say too little and aren't used.
+#: Windows with more placeholders than this say too little as templates; items
+#: that have one are also found by their literal words.
 MOST_SLOTS = 4
+#: Items of fewer words than WINDOW are found word for word, from this many
+#: words on: a shorter run is ordinary language.
+SHORTEST = 4
 #: Units of measure.
 UNITS = "mm|cm|km|m|mg|g|kg|ml|l|s|sec|min|h|hours|days|weeks|months|years|miles|feet|inches|pounds|ounces|dollars|euros|cents|percent|degrees|usd|eur"
 NAME, NUMBER, UNIT = "\u0002", "\u0003", "\u0004"
@@ -68,6 +72,43 @@ def template_windows(words_: Column) -> Column:
     return _bound(four, lambda h: _doubled(h, 4))
 
 
+def literal_windows(words_: Column, width: int = WINDOW) -> Column:
+    """Hashes of the runs of ``width`` literal words by position."""
+
+    def longer(h: Column, most: int) -> Column:
+        """Runs of ``most`` words from those of one."""
+        if most == 1:
+            return h
+        half = most // 2
+        n = F.greatest(F.size(h) - (most - 1), F.lit(0))
+        return _bound(longer(h, half), lambda a: _bound(longer(h, most - half), lambda b: F.zip_with(F.slice(a, 1, n), F.slice(b, F.lit(half + 1), n), lambda x, y: F.xxhash64(x, y))))
+
+    marks = NAME + NUMBER + UNIT
+    one = F.transform(words_, lambda w: F.xxhash64(F.translate(w, marks, "")))
+    return _bound(one, lambda h: longer(h, width))
+
+
+def literal_hits(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n, n_words) for documents that hold an item word for
+    word: LEAST aligned windows (all, if it has fewer) of an item with windows
+    of over MOST_SLOTS placeholders, all the words of one under WINDOW words."""
+    slots = lambda i: F.size(F.filter(F.slice("item_words", i + 1, WINDOW), lambda w: _mark(w) > 0))
+    heavy = F.exists(F.transform("windows", lambda w, i: slots(i) > MOST_SLOTS), lambda x: x)
+    widths = {WINDOW: items.filter(heavy)} | {k: items.filter(F.size("item_words") == k) for k in range(SHORTEST, WINDOW)}
+    out = None
+    for width, those in widths.items():
+        seeds = written(those.select("item_id", F.posexplode(literal_windows(F.col("item_words"), width)).alias("item_at", "name")), "literal")
+        if seeds.isEmpty():
+            continue
+        needs = written(seeds.groupBy("item_id").agg(F.least(F.lit(LEAST), F.count("*")).alias("need")), "needs")
+        found = documents.filter("doc_id is not null").select("doc_id", F.posexplode(literal_windows(words(F.col("text")), width)).alias("at", "name"))
+        met = found.join(small(seeds, 40), "name").groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.countDistinct("item_at").alias("n"))
+        hits = met.join(small(needs, 24), "item_id").filter("n >= need").groupBy("doc_id", "item_id").agg(F.max("n").alias("n"))
+        hits = hits.select("doc_id", "item_id", "n", (F.col("n") + width - 1).alias("n_words"))
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 def flagged(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_matched) for documents that hold a benchmark item:
     of several items the one with most aligned windows, then the least id."""
@@ -93,8 +134,10 @@ def flagged(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = F.arrays_zip(F.slice("item_words", F.col("low") + 1, long).alias("item"), F.slice("doc_words", F.greatest(F.col("low") + F.col("shift"), F.lit(0)) + 1, long).alias("doc"))
     filled = F.filter(both, lambda p: p["item"].isNotNull() & p["doc"].isNotNull() & (_mark(p["item"]) > 0) & (_mark(p["item"]) == _mark(p["doc"])))
     consistent = _bound(filled, lambda s: F.size(F.array_distinct(s)) == F.size(F.array_distinct(F.transform(s, lambda p: p["item"]))))
-    agreed = pair.filter(consistent).groupBy("doc_id", "item_id").agg(F.max("n").alias("n"))
-    return agreed.groupBy("doc_id").agg(F.max_by("item_id", F.struct("n", -F.col("item_id"))).alias("item_id"), (F.max("n") + WINDOW - 1).alias("n_matched"))
+    agreed = pair.filter(consistent).groupBy("doc_id", "item_id").agg(F.max("n").alias("n")).withColumn("n_words", F.col("n") + WINDOW - 1)
+    if (literal := literal_hits(documents, items)) is not None:
+        agreed = agreed.unionByName(literal)
+    return agreed.groupBy("doc_id").agg(F.max_by("item_id", F.struct("n_words", -F.col("item_id"))).alias("item_id"), F.max("n_words").alias("n_matched"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -102,8 +145,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     alignment at least); columns of these names are replaced.
 
     An item is found where LEAST of its windows (all, if it has fewer) align
-    with the document.  Items under WINDOW words, null and empty texts on either
-    side match nothing.  Rows that share a doc_id are one document: they are
+    with the document, as templates or, where an item has windows of over
+    MOST_SLOTS placeholders, word for word.  An item of SHORTEST to WINDOW - 1
+    words is found where all its words follow one another.  Items under SHORTEST
+    words, null and empty texts on either side match nothing.  Rows that share a doc_id are one document: they are
     flagged together; a null doc_id is never flagged."""
     hits = written(flagged(documents.select("doc_id", "text"), benchmark), "hits")
     kept = [c for c in documents.columns if c not in ("contaminated", "item_id", "n_matched")]

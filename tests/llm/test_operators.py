@@ -310,3 +310,12 @@ def test_stages_keep_rows_of_null_and_shared_ids(spark, tmp_path):
     spark.createDataFrame([(1, text(6))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
     assert len(clean) == len(rows) - 2 and all(r.text != text(6) for r in clean)
+
+
+def test_decontamination_finds_literal_copies(spark):
+    sums = "12 7 plus 44 9 minus 81 6 times 5 3 and 2 8 or 4 1"  # every window holds five numbers or six
+    items = spark.createDataFrame([(1, sums), (2, "name the largest moon of Jupiter"), (3, "too short")], "item_id long, text string")
+    texts = [f"some words before {sums} and after", f"some words {sums.replace('12', '13').replace('81', '82').replace('44', '45')} after", "please name the largest moon of Jupiter now", "name the largest moon of Saturn", "far too short a text to be found"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.item_id, r.n_matched) for r in decontaminate.decontaminate(docs, items).filter("contaminated").collect()}
+    assert got == {0: (1, 17), 2: (2, 6)}
