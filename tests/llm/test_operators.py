@@ -319,3 +319,27 @@ def test_decontamination_finds_literal_copies(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.item_id, r.n_matched) for r in decontaminate.decontaminate(docs, items).filter("contaminated").collect()}
     assert got == {0: (1, 17), 2: (2, 6)}
+
+
+def test_symbols_are_consistent_inside_equal_substrings():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 60, 4000).astype(np.uint64)
+    one, two = substrings.symbol_ends(words)
+    assert 0.6 < one.mean() < 0.85 and two.mean() < one.mean() and not (two & ~one).any()
+    names = substrings.anchors(words)[1]
+    for a in rng.integers(0, len(words) - 13, 200).tolist():
+        window = words[a : a + 13]
+        elsewhere = np.r_[rng.integers(0, 60, 20).astype(np.uint64), window, window[:5]]
+        assert substrings.anchors(window)[1][0] == names[a] == substrings.anchors(elsewhere)[1][20]
+        ends = substrings.symbol_ends(elsewhere)[1]
+        assert (ends[22:32] == two[a + 2 : a + 12]).all()
+
+
+def test_substrings_with_shared_ids_ranges_and_runs(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    run = "the " * 40
+    rows = [(1, passage + " x y"), (1, "other words before " + passage), (2, "z " + passage + " z"), (2, " ".join(f"q{i}" for i in range(30))), (3, run + "a"), (4, "b " + run), (5, None), (None, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 7, 64):
+        got = sorted(((r.doc_id or 0, r.n_words, r.n_removed) for r in substrings.drop_repeats(docs, parts).collect()))
+        assert got == sorted([(1, 22, 0), (1, 23, 0), (2, 22, 20), (2, 30, 0), (3, 41, 0), (4, 41, 40), (5, 0, 0), (0, 20, 0)])
