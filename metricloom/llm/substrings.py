@@ -229,7 +229,7 @@ def _gathered(df: DataFrame, kind: type, name: str, parts: int) -> DataFrame:
                 out.append((int(docs[at[0]]), int(variants[at[0]]), packed(np.sort(values[at]))))
         return pa.Table.from_batches([_rows(out, schema)], schema)
 
-    grouped = df.repartition(parts, "part").groupBy("part")
+    grouped = df.repartitionById(parts, F.col("part")).groupBy("part")
     return written(grouped.applyInArrow(gather, f"doc_id long, _variant long, {name} binary"), name)
 
 
@@ -280,7 +280,7 @@ def covered_words(docs: DataFrame, parts: int) -> DataFrame:
         return _back(sure_docs, sure_variants, sure, parts)
 
     sent = docs.mapInArrow(symbols, SENT_SQL)
-    found = _gathered(sent.repartition(parts, "part").groupBy("part").applyInArrow(shared, SENT_SQL), np.uint64, "names", parts)
+    found = _gathered(sent.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(shared, SENT_SQL), np.uint64, "names", parts)
 
     def named(batches):
         for batch in slices(batches, "text"):
@@ -317,7 +317,7 @@ def covered_words(docs: DataFrame, parts: int) -> DataFrame:
 
     # joined by a shuffle at every size: names and starts grow with the texts
     met = docs.join(found, KEY).mapInArrow(named, SENT_SQL)
-    return _gathered(met.repartition(parts, "part").groupBy("part").applyInArrow(later, SENT_SQL), np.uint32, "_starts", parts)
+    return _gathered(met.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(later, SENT_SQL), np.uint32, "_starts", parts)
 
 
 def drop_repeats(documents: DataFrame, parts: int | None = None) -> DataFrame:
