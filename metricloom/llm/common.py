@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast up to this many bytes (estimated from counted rows);
@@ -56,15 +56,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_at)
 
 
 def sweep(spark: SparkSession) -> None:
     """Deletes this application's intermediate tables; results that were not
     written elsewhere can't be read afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -73,6 +84,35 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def matched(left: DataFrame, right: DataFrame, on: list[str], row_bytes: int, rows: str, spread: Column, how: str = "left") -> DataFrame:
+    """``left`` with the other columns of ``right``, a written table with one
+    row for each key and, in column ``rows``, the number of rows of ``left``
+    that have it.
+
+    Where ``right`` isn't small, the keys of most rows are broadcast, as many
+    as fit BROADCAST_BYTES by their share of the total, and the rest is
+    shuffled; rows whose value is known by then, and those with a null key, are
+    dealt by ``spread``.  So no key fills a task, however hot it is.  how:
+    left, inner or left_anti."""
+    values = [c for c in right.columns if c not in on and c != rows]
+    right = right.select(*on, rows, F.struct(F.lit(True).alias("_"), *values).alias("_found"))
+    if right.count() * row_bytes <= BROADCAST_BYTES:
+        out = left.join(F.broadcast(right.drop(rows)), on, "left")
+    else:
+        most = (right.agg(F.sum(rows)).first()[0] or 0) * row_bytes // BROADCAST_BYTES
+        hot = right.filter(F.col(rows) > most).select(*on, F.col("_found").alias("_hot"))  # fewer than BROADCAST_BYTES / row_bytes rows
+        out = left.join(F.broadcast(hot), on, "left")
+        done = F.col("_hot").isNotNull()
+        for c in on:
+            done = done | F.col(c).isNull()
+        out = out.withColumn("_salt", F.when(done, F.pmod(spread, F.lit(1 << 20)) + 1).otherwise(0))
+        cold = right.filter(F.col(rows) <= most).select(*on, F.lit(0).cast("long").alias("_salt"), "_found")
+        out = out.join(cold, [*on, "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_found"))
+    if how != "left":
+        out = out.filter(F.col("_found").isNotNull() if how == "inner" else F.col("_found").isNull())
+    return out.select(*left.columns, *([] if how == "left_anti" else [F.col(f"_found.{v}").alias(v) for v in values]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -139,12 +179,18 @@ def pair_components(pairs: DataFrame) -> DataFrame:
     length; labels are a table, never collected."""
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")), "labels")
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component"), F.count("*").alias("links")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("least"))
-        met = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "least").alias("now"))
-        own = labels.select(F.col("id").alias("now"), F.col("component").alias("further"))
-        new = written(met.join(own, "now").select("id", "was", F.least("now", "further").alias("component")), "labels")
-        labels = new.select("id", "component")
-        if new.filter("component < was").isEmpty():
-            return labels
+        # a hub's links and a large component's label are hot keys
+        ends = labels.select(F.col("id").alias("b"), "component", "links")
+        near = matched(both, ends, ["b"], 40, "links", F.xxhash64("a"), "inner").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("least"))
+        met = written(labels.join(near, "id").select("id", "links", F.col("component").alias("was"), F.least("component", "least").alias("now")), "met")
+        own = met.groupBy("now").agg(F.count("*").alias("rows")).join(labels.select(F.col("id").alias("now"), F.col("component").alias("further")), "now")
+        own = written(own.select("now", "further", "rows"), "own")
+        new = written(matched(met, own, ["now"], 40, "rows", F.xxhash64("id"), "inner").select("id", "was", F.least("now", "further").alias("component"), "links"), "labels")
+        settled = new.filter("component < was").isEmpty()
+        discard(labels, met, own)
+        labels = new
+        if settled:
+            discard(pairs)
+            return labels.select("id", "component")

@@ -1,13 +1,17 @@
 """Benchmark decontamination by template windows (operator 7).
 
 Texts become sequences of words with typed placeholders: a word with a digit is
-a number, a capitalised word inside a sentence is a name, a unit of measure
-after a number is a unit.  Hashes of WINDOW template words (built by doubling:
-one, two, four, eight words) of the benchmark meet those of the documents in a
-hash join.  Windows on one diagonal of a document and an item make an
-alignment; enough of them, and slots that are filled consistently (one literal
-of the item always stands for one literal of the document), flag the document,
-so that a question with other numbers or names is still caught."""
+a number, a word of two letters or more that begins with a capital is a name, a
+unit of measure after a number is a unit.  What begins a sentence has a capital
+in any case, so an item is also read with its sentences' first words as they
+are, for documents that have them inside a sentence.  Hashes of WINDOW template
+words (built by doubling: one, two, four, eight words) of the benchmark meet
+those of the documents in a hash join.  Windows on one diagonal of a document
+and an item make an alignment; enough of them with enough words that aren't
+placeholders, and slots that are filled consistently (one literal of the item
+always stands for one literal of the document), flag the document, so that a
+question with other numbers or names is still caught.  Items are also looked
+for word for word where templates say too little."""
 
 from __future__ import annotations
 
@@ -19,9 +23,14 @@ from .common import small, written
 WINDOW = 8
 #: Aligned windows that flag a document: six make thirteen words in a row.
 LEAST = 6
-#: Windows with more placeholders than this say too little as templates; items
-#: that have one are also found by their literal words.
-MOST_SLOTS = 4
+#: Literal words that the aligned windows have together at least (a word counts
+#: in each): windows of many placeholders say less, so more of them are needed.
+EVIDENCE = 24
+#: Windows with fewer literal words than this say nothing as templates.
+LITERALS = 2
+#: Items that have a window with fewer literal words than this are also looked
+#: for word for word.
+FIRM = 4
 #: Items of fewer words than WINDOW are found word for word, from this many
 #: words on: a shorter run is ordinary language.
 SHORTEST = 4
@@ -33,16 +42,19 @@ SPACE = " \\t-\\r"
 PUNCTUATION = "[!-/:-@\\[-`{-~\u00a1-\u00bf\u2010-\u2027\u3001-\u3003]+"
 
 
-def words(text: Column) -> Column:
-    """Lower-case words without punctuation; placeholders carry a mark first."""
+def words(text: Column, openers: bool = True) -> Column:
+    """Lower-case words without punctuation; placeholders carry a mark first.
+    ``openers``: whether a sentence's first word may be a name."""
     # each pattern starts with a small class or a literal: one quick scan a text
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}-{UNIT}]", "")
-    t = F.regexp_replace(t, " (?<![.!?] )(?=\\p{Lu}\\p{Ll})", f" {NAME}")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}-{UNIT}\\t-\\r]", " ")
+    t = F.concat(F.lit(" "), t)
+    inside = "" if openers else "(?<![.!?] )(?<!\\A )"
+    t = F.regexp_replace(t, f" [\"'(\u201c\u2018]?{inside}(?=\\p{{Lu}}\\p{{L}})", f" {NAME}")
     t = F.regexp_replace(t, "[0-9]+", NUMBER + "$0")
-    t = F.regexp_replace(F.lower(t), f"({NUMBER}[0-9]+) (?=(?:{UNITS})(?![\\p{{L}}{NUMBER}]))", f"$1 {UNIT}")
+    t = F.regexp_replace(F.lower(t), f"({NUMBER}[0-9]+) +(?=(?:{UNITS})(?![\\p{{L}}{NUMBER}]))", f"$1 {UNIT}")
     t = F.regexp_replace(t, PUNCTUATION, "")
     # what was only a mark and punctuation goes too
-    return F.filter(F.split(t, f"[{SPACE}]+"), lambda w: F.length(w) > 0)
+    return F.filter(F.split(t, " +"), lambda w: F.length(w) > 0)
 
 
 def _mark(w: Column) -> Column:
@@ -88,12 +100,11 @@ def literal_windows(words_: Column, width: int = WINDOW) -> Column:
     return _bound(one, lambda h: longer(h, width))
 
 
-def literal_hits(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n, n_words) for documents that hold an item word for
-    word: LEAST aligned windows (all, if it has fewer) of an item with windows
-    of over MOST_SLOTS placeholders, all the words of one under WINDOW words."""
-    slots = lambda i: F.size(F.filter(F.slice("item_words", i + 1, WINDOW), lambda w: _mark(w) > 0))
-    heavy = F.exists(F.transform("windows", lambda w, i: slots(i) > MOST_SLOTS), lambda x: x)
+def literal_hits(documents: DataFrame, items: DataFrame) -> DataFrame | None:
+    """(doc_id, item_id, n_words) for documents that hold an item word for word:
+    LEAST aligned windows (all, if it has fewer) of an item that has a window
+    with fewer than FIRM literal words, all the words of one under WINDOW words."""
+    heavy = F.exists(F.transform("windows", lambda w, i: _literals(i) < FIRM), lambda x: x)
     widths = {WINDOW: items.filter(heavy)} | {k: items.filter(F.size("item_words") == k) for k in range(SHORTEST, WINDOW)}
     out = None
     for width, those in widths.items():
@@ -104,37 +115,44 @@ def literal_hits(documents: DataFrame, items: DataFrame) -> DataFrame:
         found = documents.filter("doc_id is not null").select("doc_id", F.posexplode(literal_windows(words(F.col("text")), width)).alias("at", "name"))
         met = found.join(small(seeds, 40), "name").groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.countDistinct("item_at").alias("n"))
         hits = met.join(small(needs, 24), "item_id").filter("n >= need").groupBy("doc_id", "item_id").agg(F.max("n").alias("n"))
-        hits = hits.select("doc_id", "item_id", "n", (F.col("n") + width - 1).alias("n_words"))
+        hits = hits.select("doc_id", "item_id", (F.col("n") + width - 1).alias("n_words"))
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
+def _literals(at: Column) -> Column:
+    """Words of the item's window at ``at`` that aren't placeholders."""
+    return WINDOW - F.size(F.filter(F.slice("item_words", at + 1, WINDOW), lambda w: _mark(w) > 0))
+
+
 def flagged(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_matched) for documents that hold a benchmark item:
-    of several items the one with most aligned windows, then the least id."""
-    items = benchmark.filter("item_id is not null").select("item_id", words(F.col("text")).alias("item_words"))
-    items = written(items.withColumn("windows", template_windows(F.col("item_words"))), "items")
-    at = items.select("item_id", "item_words", F.posexplode("windows").alias("item_at", "name"))
-    slots = F.size(F.filter(F.slice("item_words", F.col("item_at") + 1, WINDOW), lambda w: _mark(w) > 0))
-    seeds = written(at.filter(slots <= MOST_SLOTS).select("item_id", "item_at", "name").distinct(), "seeds")
-    need = seeds.groupBy("item_id").agg(F.least(F.lit(LEAST), F.count("*")).alias("need"))
+    of several items the one with most aligned words, then the least id."""
+    # a null item_id names no item; repeated ones are readings of one item
+    given = benchmark.filter("item_id is not null").select("item_id", words(F.col("text")).alias("as_names"), words(F.col("text"), False).alias("as_words"))
+    readings = F.array_distinct(F.array("as_names", "as_words"))
+    items = given.select("item_id", F.explode(readings).alias("item_words")).distinct()
+    items = written(items.select(F.xxhash64("item_id", "item_words").alias("reading"), "item_id", "item_words", template_windows(F.col("item_words")).alias("windows")), "items")
+    at = items.select("reading", "item_words", F.posexplode("windows").alias("item_at", "name")).withColumn("literals", _literals(F.col("item_at")))
+    seeds = written(at.filter(F.col("literals") >= LITERALS).select("reading", "item_at", "name", "literals").distinct(), "seeds")
+    needs = written(seeds.groupBy("reading").agg(F.least(F.lit(LEAST), F.count("*")).alias("need"), F.least(F.lit(EVIDENCE), F.sum("literals")).alias("evidence")), "needs")
 
     windows = template_windows(words(F.col("text")))
     found = documents.filter("doc_id is not null").select("doc_id", F.posexplode(windows).alias("at", "name"))
     met = found.join(small(seeds, 40), "name")
     shift = (F.col("at") - F.col("item_at")).alias("shift")
-    aligned = met.groupBy("doc_id", "item_id", shift).agg(F.count("*").alias("n"), F.min("item_at").alias("low"), F.max("item_at").alias("high"))
-    needs = written(need, "needs")
-    likely = written(aligned.join(small(needs, 24), "item_id").filter("n >= need").drop("need"), "likely")
+    aligned = met.groupBy("doc_id", "reading", shift, "item_at").agg(F.first("literals").alias("literals"))
+    aligned = aligned.groupBy("doc_id", "reading", "shift").agg(F.count("*").alias("n"), F.sum("literals").alias("sum"), F.min("item_at").alias("low"), F.max("item_at").alias("high"))
+    likely = written(aligned.join(small(needs, 32), "reading").filter("n >= need and sum >= evidence").drop("need", "evidence", "sum"), "likely")
 
     ids = written(likely.select("doc_id").distinct(), "ids")
     texts = documents.join(small(ids, 16), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("doc_words"))
-    pair = likely.join(small(items.select("item_id", "item_words"), 4000), "item_id").join(texts, "doc_id")
+    pair = likely.join(small(items.select("reading", "item_id", "item_words"), 4000), "reading").join(texts, "doc_id")
     long = F.col("high") - F.col("low") + WINDOW
     both = F.arrays_zip(F.slice("item_words", F.col("low") + 1, long).alias("item"), F.slice("doc_words", F.greatest(F.col("low") + F.col("shift"), F.lit(0)) + 1, long).alias("doc"))
     filled = F.filter(both, lambda p: p["item"].isNotNull() & p["doc"].isNotNull() & (_mark(p["item"]) > 0) & (_mark(p["item"]) == _mark(p["doc"])))
     consistent = _bound(filled, lambda s: F.size(F.array_distinct(s)) == F.size(F.array_distinct(F.transform(s, lambda p: p["item"]))))
-    agreed = pair.filter(consistent).groupBy("doc_id", "item_id").agg(F.max("n").alias("n")).withColumn("n_words", F.col("n") + WINDOW - 1)
+    agreed = pair.filter(consistent).select("doc_id", "item_id", (F.col("n") + WINDOW - 1).alias("n_words"))
     if (literal := literal_hits(documents, items)) is not None:
         agreed = agreed.unionByName(literal)
     return agreed.groupBy("doc_id").agg(F.max_by("item_id", F.struct("n_words", -F.col("item_id"))).alias("item_id"), F.max("n_words").alias("n_matched"))
@@ -144,12 +162,15 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` with contaminated, item_id and n_matched (words of the
     alignment at least); columns of these names are replaced.
 
-    An item is found where LEAST of its windows (all, if it has fewer) align
-    with the document, as templates or, where an item has windows of over
-    MOST_SLOTS placeholders, word for word.  An item of SHORTEST to WINDOW - 1
-    words is found where all its words follow one another.  Items under SHORTEST
-    words, null and empty texts on either side match nothing.  Rows that share a doc_id are one document: they are
-    flagged together; a null doc_id is never flagged."""
+    An item is found where LEAST of its template windows align with the document
+    and have EVIDENCE literal words together (all its windows, if they have
+    less); word for word, where a window has fewer than FIRM literal words; and
+    with SHORTEST to WINDOW - 1 words where all of them follow one another.
+    Items under SHORTEST words, null and empty texts on either side match
+    nothing.  White space of any kind separates words.  Of several items the one
+    with most aligned words is named, then the least id.  Rows that share a
+    doc_id are one document: they are flagged together; a null doc_id is never
+    flagged, a null item_id never found."""
     hits = written(flagged(documents.select("doc_id", "text"), benchmark), "hits")
     kept = [c for c in documents.columns if c not in ("contaminated", "item_id", "n_matched")]
     return documents.select(*kept).join(small(hits, 40), "doc_id", "left").select(*kept, F.col("item_id").isNotNull().alias("contaminated"), "item_id", "n_matched")

@@ -11,20 +11,18 @@ Each document brings up to four pieces of evidence, combined as log odds:
   that of all documents.
 
 The languages are those that LEAST_DOCS of all documents declare.  The text
-model is fitted on about TRAIN distinct texts of each declared language (all,
-if it has fewer); tables and priors are grouped aggregations over all
+model is fitted on TRAIN distinct texts of each declared language in expectation
+(all, if it has fewer), those of least hash; tables and priors are grouped aggregations over all
 documents."""
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, ship, slices, small, written
+from .common import as_bytes, matched, ship, slices, written
 
 #: Distinct training texts of each language, as expected (those of least hash),
 #: and documents that a language needs.
@@ -114,15 +112,16 @@ def scored(documents: DataFrame, languages: list[str], model: np.ndarray, text:
 
 
 def _table(rows: DataFrame, key: str, n: int, parent: DataFrame | None, over: str | None, weight: float, name: str) -> DataFrame:
-    """(key, over, log priors): shares of each language among the key's
-    documents, smoothed by ``weight`` documents of the parent's shares."""
-    counts = rows.groupBy(key, *([over] if over else [])).agg(*[F.sum(F.when(F.col("best") == i, 1).otherwise(0)).cast("double").alias(f"n{i}") for i in range(n)])
+    """(key, over, shares, docs): shares of each language among the key's
+    documents, smoothed by ``weight`` documents of the parent's shares, and the
+    number of these documents."""
+    counts = rows.groupBy(key, *([over] if over else [])).agg(F.count("*").alias("docs"), *[F.sum(F.when(F.col("best") == i, 1).otherwise(0)).cast("double").alias(f"n{i}") for i in range(n)])
     if parent is not None:
         counts = counts.join(parent, over, "left") if over else counts.crossJoin(F.broadcast(parent))  # one row
     base = [F.col("_up")[i] if parent is not None else F.lit(1.0 / n) for i in range(n)]
     total = sum((F.col(f"n{i}") for i in range(n)), F.lit(0.0))
     share = F.array(*[(F.col(f"n{i}") + weight * base[i]) / (total + weight) for i in range(n)])
-    return counts.select(key, *([over] if over else []), share.alias(name))
+    return counts.select(key, *([over] if over else []), share.alias(name), "docs")
 
 
 def identify(documents: DataFrame, text: str = "text", declared: str | None = "lang", suffix: Column | None = None, host: str | None = "source", confidence: float = CONFIDENCE) -> DataFrame:
@@ -149,12 +148,17 @@ def identify(documents: DataFrame, text: str = "text", declared: str | None = "l
     whole = [c / sum(counts) for c in counts]
     root = documents.sparkSession.range(1).select(F.array(*map(F.lit, whole)).alias("_up"))
     suffixes = written(_table(seen.withColumn("_suffix", F.coalesce("_suffix", F.lit(""))), "_suffix", n, root, None, SUFFIX_WEIGHT, "suffix_share"), "suffixes")
-    hosts = _table(seen.filter("_host is not null").withColumn("_suffix", F.coalesce("_suffix", F.lit(""))), "_host", n, suffixes.withColumnRenamed("suffix_share", "_up"), "_suffix", HOST_WEIGHT, "host_share")
+    hosts = _table(seen.filter("_host is not null").withColumn("_suffix", F.coalesce("_suffix", F.lit(""))), "_host", n, suffixes.drop("docs").withColumnRenamed("suffix_share", "_up"), "_suffix", HOST_WEIGHT, "host_share")
     # P(declared | language): one row for each declared value
-    confusion = seen.filter("_declared is not null").groupBy("_declared").agg(F.array(*[((F.sum(F.when(F.col("best") == i, 1).otherwise(0)) + 0.5) / (counts[i] + 0.5)) for i in range(n)]).alias("declared_given"))
+    confusion = seen.filter("_declared is not null").groupBy("_declared").agg(F.count("*").alias("docs"), F.array(*[((F.sum(F.when(F.col("best") == i, 1).otherwise(0)) + 0.5) / (counts[i] + 0.5)) for i in range(n)]).alias("declared_given"))
     hosts, confusion = written(hosts, "hosts"), written(confusion, "confusion")
 
-    joined = rows.withColumn("_suffix", F.coalesce("_suffix", F.lit(""))).join(small(hosts, 120 + 8 * n), ["_host", "_suffix"], "left").join(small(suffixes, 80 + 8 * n), "_suffix", "left").join(small(confusion, 80 + 8 * n), "_declared", "left")
+    # each row finds its host's, its suffix's and its declared language's table
+    joined = rows.withColumn("_suffix", F.coalesce("_suffix", F.lit("")))
+    spread = F.xxhash64("likelihoods")
+    joined = matched(joined, hosts, ["_host", "_suffix"], 120 + 8 * n, "docs", spread)
+    joined = matched(joined, suffixes, ["_suffix"], 80 + 8 * n, "docs", spread)
+    joined = matched(joined, confusion, ["_declared"], 80 + 8 * n, "docs", spread)
     prior = F.coalesce("host_share", "suffix_share", F.array(*map(F.lit, whole)))
     logs = F.transform("likelihoods", lambda x, i: x + F.log(F.get(prior, i)) + F.coalesce(F.log(F.get("declared_given", i)), F.lit(0.0)))
     joined = joined.withColumn("_logs", logs).withColumn("_most", F.array_max("_logs"))

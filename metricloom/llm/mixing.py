@@ -19,7 +19,7 @@ import logging
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import discard, matched, written
 
 #: Target share of a margin's value: its share to this power, normalised.
 #: 1 leaves the mixture as it is, 0 makes all values equal.
@@ -35,11 +35,14 @@ LOG = logging.getLogger(__name__)
 
 
 def topic(text: Column) -> Column:
-    """A coarse topic by the text's form: table, list, brief or prose."""
-    bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    """A coarse topic by the text's form: table (bars), code (braces and
+    semicolons), numeric (digits), list (short lines), dialogue (quotation
+    marks), brief (under 1,000 characters) or prose, the first that fits."""
     n = F.length(text)
-    return F.when(20 * bars > n / 5, "table").when(lines * 80 > n, "list").when(n < 1000, "brief").otherwise("prose")
+    count = lambda chars: n - F.length(F.translate(text, chars, ""))
+    bars, lines = n - F.length(F.replace(text, F.lit("|"), F.lit(""))), n - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    forms = F.when(100 * bars > n, "table").when(50 * count("{};") > n, "code").when(4 * count("0123456789") > n, "numeric")
+    return forms.when(80 * lines > n, "list").when(60 * count('"\u201c\u201d\u00ab\u00bb') > n, "dialogue").when(n < 1000, "brief").otherwise("prose")
 
 
 def targets(cells: DataFrame, powers: dict[str, float]) -> DataFrame:
@@ -56,33 +59,37 @@ def targets(cells: DataFrame, powers: dict[str, float]) -> DataFrame:
 
 def raked(cells: DataFrame, wanted: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with weight: weighted tokens sum
-    to 1 and each margin's shares reach their targets (values without a target
-    get none; shares are renormalised over values that exist)."""
+    to 1 and each margin's shares reach their targets; values without a target
+    have weight 0.  Where the margins don't settle in ``rounds``, the largest
+    change of the last round is logged."""
     wanted = written(wanted, "targets")
     cells = written(cells.withColumn("weight", F.lit(1.0)), "cells")
+    moved = None
     for _ in range(rounds):
         before = cells
         for margin in MARGINS:
             goal = wanted.filter(F.col("margin") == margin).select(F.col("value").alias(margin), "target")
             have = cells.groupBy(margin).agg(F.sum(F.col("weight") * F.col("tokens")).alias("have")).filter("have > 0")
             factor = have.join(goal, margin).select(margin, (F.col("target") / F.col("have")).alias("factor"))
-            cells = cells.join(factor, margin).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+            cells = cells.join(factor, margin, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
         cells = written(cells.select(*before.columns), "cells")
-        moved = cells.join(before.select(*MARGINS, F.col("weight").alias("was")), list(MARGINS)).agg(F.max(F.abs(F.col("weight") / F.col("was") - 1))).first()[0]
+        moved = cells.join(before.select(*MARGINS, F.col("weight").alias("was")), list(MARGINS)).agg(F.max(F.abs(F.try_divide("weight", "was") - 1))).first()[0]
+        discard(before)
         if moved is None or moved < tolerance:
-            break
+            return cells
+    LOG.warning("raking has not settled after %d rounds: weights still move by %.3g", rounds, moved)
     return cells
 
 
 def goals(cells: DataFrame, wanted: DataFrame, kept: float) -> DataFrame:
     """(margin, value, tokens, target, goal): goal is the tokens to keep of each
     value, min(tokens, level * target), with the margin's level such that they
-    sum to ``kept`` of all tokens."""
+    sum to ``kept`` of all tokens.  A value that ``wanted`` lacks has target 0."""
     have = None
     for margin in MARGINS:
         sums = cells.groupBy(F.lit(margin).alias("margin"), F.col(margin).alias("value")).agg(F.sum("tokens").alias("tokens"))
         have = sums if have is None else have.unionByName(sums)
-    have = written(have.join(wanted, ["margin", "value"]), "margins")
+    have = written(have.join(wanted, ["margin", "value"], "left").withColumn("target", F.coalesce("target", F.lit(0.0))), "margins")
     level = dict.fromkeys(MARGINS, 0.0)
     while True:
         at = F.create_map(*[x for m in MARGINS for x in (F.lit(m), F.lit(level[m]))])[F.col("margin")]
@@ -100,6 +107,7 @@ def rates(cells: DataFrame, goal: DataFrame, kept: float, rounds: int = ROUNDS,
     from the same one everywhere: expected tokens meet each margin's goal, as far as its cells have them."""
     cells = cells.select(*MARGINS, "tokens", F.lit(float(kept)).alias("probability"))
     cells = written(cells, "cells")
+    moved = None
     for _ in range(rounds):
         before = cells
         for margin in MARGINS:
@@ -110,11 +118,13 @@ def rates(cells: DataFrame, goal: DataFrame, kept: float, rounds: int = ROUNDS,
             more = (F.col("goal") - F.col("full")) / (F.col("have") - F.col("full"))
             factor = F.when(F.col("goal") <= F.col("have"), F.col("goal") / F.col("have")).when(F.col("have") > F.col("full"), more).otherwise(1.0)
             factors = have.filter("have > 0").join(own, margin).select(margin, factor.alias("factor"))
-            cells = cells.join(factors, margin).withColumn("probability", F.least(F.lit(1.0), F.col("probability") * F.col("factor"))).drop("factor")
+            cells = cells.join(factors, margin, "left").withColumn("probability", F.least(F.lit(1.0), F.col("probability") * F.coalesce("factor", F.lit(0.0)))).drop("factor")
         cells = written(cells.select(*before.columns), "cells")
         moved = cells.join(before.select(*MARGINS, F.col("probability").alias("was")), list(MARGINS)).agg(F.max(F.abs(F.col("probability") - F.col("was")))).first()[0]
+        discard(before)
         if moved is None or moved < tolerance:
-            break
+            return cells
+    LOG.warning("raking has not settled after %d rounds: probabilities still move by %.3g", rounds, moved)
     return cells
 
 
@@ -130,24 +140,27 @@ def unmet(cells: DataFrame, goal: DataFrame, kept: float, off: float = OFF) -> D
     return out.filter(F.abs(F.col("share") - F.col("target")) > off * F.col("target")).select("margin", "value", "tokens", "target", "share")
 
 
-def mix(documents: DataFrame, powers: dict[str, float] | None = None, wanted: DataFrame | None = None, rounds: int = ROUNDS, kept: float = KEPT) -> DataFrame:
+def mix(documents: DataFrame, powers: dict[str, float] | None = None, wanted: DataFrame | None = None, rounds: int = ROUNDS, kept: float = KEPT, topics: Column | None = None) -> DataFrame:
     """``documents`` (doc_id, text, source, lang, ...) with topic, n_tokens
     (words), probability and sampled; columns of these names are replaced.
 
     ``kept`` of all tokens are kept in expectation, with the target shares of
     each margin; a value that has less than its target asks is kept whole and
-    the others share the rest.  Margins that miss their target are logged.
-    ``wanted``: (margin, value, target); by default powers of the
-    present shares.  Null sources and languages are the value ''.  A document
-    without words says nothing about margins and has probability 1 if its cell
-    has no words at all.  Rows that repeat share one decision; a
-    null id is decided by its text."""
+    the others share the rest.  Margins that miss their target are logged, and
+    so is raking that doesn't settle.  ``wanted``: (margin, value, target); by
+    default powers of the present shares; a value that it lacks has target 0:
+    none of its documents with words is sampled.  ``topics``: each document's
+    topic; by default its form.  Null sources, languages and topics are the
+    value ''.  A document without words says nothing about margins and has
+    probability 1 if its cell has no words at all.  Rows that repeat share one
+    decision; a null id is decided by its text."""
     names = [c for c in documents.columns if c not in ("topic", "n_tokens", "probability", "sampled")]
     text = F.coalesce("text", F.lit(""))
     n_tokens = F.regexp_count(text, F.lit("[^ \\t-\\r]+")).cast("long")
-    rows = documents.select(*names, topic(text).alias("topic"), n_tokens.alias("n_tokens"))
+    rows = documents.select(*names, (F.coalesce(topics, F.lit("")) if topics is not None else topic(text)).alias("topic"), n_tokens.alias("n_tokens"))
     cell = [F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("topic")]
-    cells = written(rows.groupBy(*cell).agg(F.sum("n_tokens").alias("tokens")), "cells").filter("tokens > 0")
+    sizes = written(rows.groupBy(*cell).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "cells")
+    cells = sizes.filter("tokens > 0").drop("docs")
     goal = wanted if wanted is not None else targets(cells, powers or {"source": SOURCE_POWER, "lang": LANGUAGE_POWER, "topic": TOPIC_POWER})
     goal = written(goals(cells, written(goal, "targets"), kept), "goals")
     chances = rates(cells, goal, kept, rounds)
@@ -155,9 +168,9 @@ def mix(documents: DataFrame, powers: dict[str, float] | None = None, wanted: Da
     if n := missed.count():
         worst = missed.orderBy(F.desc(F.abs(F.col("share") - F.col("target")))).limit(10).collect()
         LOG.warning("%d values miss their target share of tokens; furthest: %s", n, [(r.margin, r.value, round(r.target, 6), round(r.share, 6)) for r in worst])
-    chances = written(chances.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "probability"), "rates")
-    fits = (F.coalesce("source", F.lit("")) == F.col("_source")) & (F.coalesce("lang", F.lit("")) == F.col("_lang")) & (F.col("topic") == F.col("_topic"))
-    joined = rows.join(small(chances, 120), fits, "left")
+    named = chances.join(sizes.drop("tokens"), list(MARGINS)).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("probability").alias("_probability"), "docs")
+    by = [c.alias(f"_{m}") for c, m in zip(cell, MARGINS, strict=True)]
+    joined = matched(rows.select("*", *by), written(named, "rates"), [f"_{m}" for m in MARGINS], 120, "docs", F.xxhash64("doc_id", "n_tokens"))
     chance = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit("mix"))).otherwise(F.xxhash64("doc_id", F.lit("mix"))), F.lit(1 << 30)) / float(1 << 30)
-    probability = F.coalesce("probability", F.lit(1.0))
+    probability = F.coalesce("_probability", F.lit(1.0))
     return joined.select(*names, "topic", "n_tokens", F.round(probability, 9).alias("probability"), (chance < probability).alias("sampled"))

@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix, odd, pair_components, ship, signed, slices, small, window_hashes, word_hashes, written
+from .common import as_bytes, discard, matched, mix, odd, pair_components, ship, signed, slices, small, window_hashes, word_hashes, written
 
 SHINGLE = 5
 ROWS, BANDS = 4, 24
 T = ROWS * BANDS
 #: Classes that one task compares with as many others.
 BLOCK = 500
+#: Pairs of one pivot for each copy of the pivot's set.
+PIVOT_PAIRS = 2_000
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -99,16 +101,23 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([signed(shingles(words_of(t))) for t in as_bytes(batch.column("text"))], schema.types[1])], schema=schema)
 
     texts = documents.select("doc_id", "text").join(small(wanted, 16).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return texts.mapInArrow(run, "id long, elements array<long>").dropDuplicates(["id"])
+    # a repeated id stands for its text of least hash among those with words
+    return texts.mapInArrow(run, "id long, elements array<long>").filter(F.size("elements") > 0).groupBy("id").agg(F.min_by("elements", F.xxhash64("elements")).alias("elements"))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach ``percent`` of similarity."""
-    left = sets.select(F.col("id").alias("a"), F.col("elements").alias("own"))
-    right = sets.select(F.col("id").alias("b"), F.col("elements").alias("other"))
-    both = F.size(F.array_intersect("own", "other"))
-    fits = pairs.join(left, "a").join(right, "b").withColumn("both", both)
-    return fits.filter(100 * F.col("both") >= percent * (F.size("own") + F.size("other") - F.col("both"))).select("a", "b")
+    """(a, b), a < b, of the written ``pairs`` (pivot, id) whose sets reach
+    ``percent`` of similarity.  A pivot of many pairs has a copy of its set for
+    each PIVOT_PAIRS of them."""
+    counts = pairs.groupBy("pivot").agg(F.count("*").alias("rows"))
+    counts = written(counts.select("pivot", "rows", F.ceil(F.col("rows") / PIVOT_PAIRS).alias("salts")), "pivots")
+    salted = matched(pairs, counts, ["pivot"], 32, "rows", F.xxhash64("id"), "inner").select("pivot", "id", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"))
+    left = sets.withColumnRenamed("id", "pivot").join(small(counts, 32).select("pivot", "salts"), "pivot")
+    left = left.select("pivot", F.col("elements").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    both = F.size(F.array_intersect("own", "elements"))
+    fits = salted.join(left, ["pivot", "salt"]).join(sets, "id").withColumn("both", both)
+    fits = fits.filter(100 * F.col("both") >= percent * (F.size("own") + F.size("elements") - F.col("both")))
+    return fits.select(*_ordered(F.col("pivot"), F.col("id")))
 
 
 def _ordered(x, y):
@@ -121,8 +130,9 @@ def _block_links(here: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     of the links that join the same components a block returns one."""
     count = here.groupBy("key", "component").count()
     most = count.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
-    blocks = most.select("key", "main", F.ceil(F.col("n") / BLOCK).alias("right"), F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("left"))
-    rows = here.select("key", "id", "component").join(blocks, "key").join(sets, "id")
+    blocks = most.select("key", "main", F.col("n").alias("rows"), F.ceil(F.col("n") / BLOCK).alias("right"), F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("left"))
+    blocks = written(blocks, "blocks")
+    rows = matched(here.select("key", "id", "component"), blocks, ["key"], 48, "rows", F.xxhash64("id"), "inner").join(sets, "id")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), n)
     columns = ["key", "id", "component", "main", "elements"]
@@ -166,19 +176,23 @@ def _block_links(here: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def class_components(documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(id, component) of classes (id, keys) that have a link."""
     rows = written(classes.select("id", F.explode("keys").alias("key")), "bands")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter("n > 1")
-    buckets = written(rows.join(sizes, "key").select("key", "id", "pivot"), "buckets")
+    by_id = F.xxhash64("id")
+    sizes = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter("n > 1"), "sizes")
+    buckets = written(matched(rows, sizes, ["key"], 32, "n", by_id, "inner").select("key", "id", "pivot"), "buckets")
+    discard(rows, sizes)
     sets = written(_sets(documents, written(buckets.select("id").distinct(), "wanted")), "sets")
-    tried = written(buckets.filter("id <> pivot").select(*_ordered(F.col("id"), F.col("pivot"))).distinct(), "pairs")
+    tried = written(buckets.filter("id <> pivot").select("pivot", "id").distinct(), "pairs")
     links = written(_links(tried, sets, percent), "links")
     for turn in ("pivot", "blocks"):
         reached = pair_components(links)
-        here = buckets.select("key", "id").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("id", F.xxhash64("id")).alias("turn")).filter("low < high")
-        here = written(here.join(mixed, "key").select("key", "id", "component", "turn"), "mixed")
+        here = written(buckets.select("key", "id").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id")), "here")
+        mixed = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("id", by_id).alias("turn"), F.count("*").alias("n")).filter("low < high")
+        mixed = written(mixed.select("key", "turn", "n"), "turns")
+        here = written(matched(here, mixed, ["key"], 32, "n", by_id, "inner").select("key", "id", "component", "turn"), "mixed")
         if turn == "pivot":
-            pairs = here.filter("id <> turn").select(*_ordered(F.col("id"), F.col("turn"))).distinct()
-            more = written(_links(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
+            pairs = here.filter("id <> turn").select(F.col("turn").alias("pivot"), "id").distinct()
+            seen = tried.unionByName(tried.select(F.col("id").alias("pivot"), F.col("pivot").alias("id")))
+            more = written(_links(written(pairs.join(seen, ["pivot", "id"], "left_anti"), "pairs"), sets, percent), "links")
         else:
             more = written(_block_links(here, sets, percent), "links")
         links = links.unionByName(more)
@@ -193,8 +207,9 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     shingle sets; component_id is the smallest doc_id reachable, kept is true
     for it alone.  A null, empty or blank text has no shingles and no links; a
     null doc_id neither (component_id null, kept true).  Rows that share a
-    doc_id and text are one document and get equal rows; rows that share a
-    doc_id with unlike texts are read as one text in joins on full sets."""
+    doc_id and text are one document and get equal rows.  Where texts of one
+    doc_id are unlike, each row is in its own text's class, and a class that has
+    this id as its smallest is compared by the text of least hash among them."""
     ship(documents.sparkSession)
     rows = written(sketched(documents), "sketches")
     some = rows.filter("n_shingles > 0 and doc_id is not null")
@@ -202,7 +217,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     # one row for each class and map task travels, however many copies there are
     classes = written(some.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.any_value("keys").alias("keys")), "classes")
     reached = class_components(documents, classes, percent)
-    named = classes.join(reached, "id", "left").filter("copies > 1 or component is not null").select(*same, F.coalesce("component", "id").alias("component"))
-    out = rows.drop("keys").join(small(written(named, "named"), 40), same, "left")
+    named = classes.join(reached, "id", "left").filter("copies > 1 or component is not null").select(*same, "copies", F.coalesce("component", "id").alias("component"))
+    out = matched(rows.drop("keys"), written(named, "named"), same, 56, "copies", F.xxhash64("doc_id"))
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

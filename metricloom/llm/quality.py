@@ -10,14 +10,18 @@ with half of its error probability, ERROR / strata; one of the two is used.
   says that it rejects at most RISK of the good documents; the first step that
   fails ends it.  Testing in a fixed order needs no correction for the number
   of steps or metrics, so about 250 good labels are enough with four strata.
-* Metric by metric: a fixed-order test of each one's cutoffs, with a share of
-  RISK and of the error for each metric.  It needs about 1,650 good labels, but
-  a metric that can't be tightened doesn't end the others.
+* Metric by metric: a fixed-order test of each one's cutoffs, with RISK and the
+  error divided by the number of metrics, so that all metrics together reject at
+  most RISK however they depend on each other.  It needs about 1,850 good
+  labels, but a metric that can't be tightened doesn't end the others.
 
 The rule with cutoffs for more metrics is used, the sequence if they are equal.
 Bonferroni over strata and the two rules: with probability 1 - ERROR no stratum
-rejects more than RISK of its good documents.  A stratum with too few labels
-for both gets no cutoff and keeps all that passes the base rules."""
+rejects more than RISK of its good documents.  Languages with fewer good labels
+than the sequence's first step needs (a number that doesn't depend on any
+document's metrics) are one stratum together, and the bound holds for them
+together.  A stratum with too few labels even so gets no cutoff and keeps all
+that passes the base rules, as does a language without any good label."""
 
 from __future__ import annotations
 
@@ -34,6 +38,8 @@ RISK, ERROR = 0.02, 0.05
 GRID = 200
 SYMBOLS = b"#*$%&|<>"
 METRICS = 5
+#: The stratum of all languages with few labels.
+POOL = "\u0000few labels"
 #: Metrics in the order of the sequence: symbols, exclamation marks, length of
 #: words, repeated words, repeated lines.
 SEQUENCE = (0, 3, 4, 2, 1)
@@ -117,8 +123,12 @@ def cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, error: float
     path = good_rows.select("stratum", F.lit(-1).alias("metric"), F.coalesce(*reached, F.lit(METRICS * GRID)).cast("int").alias("step"))
     # at most GRID + 1 rows for each stratum and metric, METRICS * GRID + 1 for the sequence (metric -1)
     table = written(held.unionByName(path).groupBy("stratum", "metric", "step").agg(F.count("*").alias("n")), "steps")
-    strata = max(1, table.select("stratum").distinct().count())
-    share = 1 - (1 - risk) ** (1 / METRICS)
+    sizes = table.filter("metric = -1").groupBy("stratum").agg(F.sum("n").alias("labels"))
+    strata = max(1, sizes.count())
+    least = math.log(error / strata / 2) / math.log1p(-risk)
+    pools = written(sizes.select("stratum", F.when(F.col("labels") >= least, F.col("stratum")).otherwise(POOL).alias("pool")), "pools")
+    share = risk / METRICS
+    table = table.join(small(pools, 80), "stratum").groupBy(F.col("pool").alias("stratum"), "metric", "step").agg(F.sum("n").alias("n"))
 
     schema = pa.schema([("stratum", pa.string()), ("metric", pa.int32()), ("cutoff", pa.int32())])
 
@@ -146,7 +156,8 @@ def cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, error: float
         return pa.Table.from_pylist([{"stratum": key[0].as_py(), "metric": m, "cutoff": c} for m, c in best.items()], schema)
 
     ship(rows.sparkSession)
-    return table.groupBy("stratum").applyInArrow(choose, "stratum string, metric int, cutoff int")
+    chosen = table.groupBy("stratum").applyInArrow(choose, "stratum string, metric int, cutoff int")
+    return pools.join(chosen.withColumnRenamed("stratum", "pool"), "pool").select("stratum", "metric", "cutoff")
 
 
 def judged(documents: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:

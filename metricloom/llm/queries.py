@@ -42,6 +42,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "language", "posterior", "kept")
 
 
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 over raw pages: text, declared markup language, suffix, host."""
+    return languages.identify_pages(table(spark, sf_dir, "pages")).select("page_id", "declared", "suffix", "host", "language", "posterior", "kept")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return docs.selectExpr("doc_id", "contaminated", "item_id", "n_matched", "not contaminated as kept")
@@ -67,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_quality_rules, op3_url_filters, op4_token_files, op5_token_counts, op6_language_id, op7_decontamination, op8_mixing, op9_near_duplicates, op10_substring_dedup, pipeline)
+    for f in (op1_sharding, op2_quality_rules, op3_url_filters, op4_token_files, op5_token_counts, op6_language_id, language_id_pages, op7_decontamination, op8_mixing, op9_near_duplicates, op10_substring_dedup, pipeline)
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filters": url_filters.oracle(),

@@ -14,9 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import discard, matched, written
 
 SHARDS, ROUNDS = 24, 12
+#: Rows of a group for each bucket in which they are numbered.
+BUCKET_ROWS = 10_000
 
 
 def running(df: DataFrame, groups: list[str], bucket: str, order: list, amount: Column, name: str) -> DataFrame:
@@ -59,7 +61,9 @@ def propagated(cells: DataFrame, quota: list[int], buckets: int, rounds: int) ->
         change = moved.select("key", "shard", (-F.col("n")).alias("n")).unionByName(moved.select("key", F.col("target").alias("shard"), "n"))
         if moved.isEmpty():
             return cells
-        cells = written(cells.unionByName(change).groupBy("key", "shard").agg(F.sum("n").alias("n")).filter("n > 0"), "cells")
+        new = written(cells.unionByName(change).groupBy("key", "shard").agg(F.sum("n").alias("n")).filter("n > 0"), "cells")
+        discard(cells, moved)
+        cells = new
     return cells
 
 
@@ -84,9 +88,12 @@ def shard(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     rows = written(rows.withColumn("bucket", bucket), "rows")
     total = rows.count()
     quota = [total // shards + (j < total % shards) for j in range(shards)]
-    groups = written(rows.filter("key is not null").groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1"), "groups")
-    linked = rows.join(small(groups, 60).select("key"), "key")
-    singles = rows.join(small(groups, 60).select("key"), "key", "left_anti")
+    groups = rows.filter("key is not null").groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1")
+    groups = written(groups.select("key", "copies", F.col("copies").alias("n")), "groups")
+    every_row = F.xxhash64("doc_id", "text_crc32", "size")
+    linked = matched(rows.drop("bucket"), groups, ["key"], 72, "copies", every_row, "inner")
+    linked = written(linked.withColumn("bucket", F.pmod(every_row, F.ceil(F.col("n") / BUCKET_ROWS)).cast("int")).drop("n"), "linked")
+    singles = matched(rows, groups, ["key"], 72, "copies", every_row, "left_anti")
 
     start = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("int")
     cells = propagated(written(linked.groupBy("key", start.alias("shard")).agg(F.count("*").alias("n")), "cells"), quota, buckets, rounds)
@@ -104,8 +111,10 @@ def shard(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     placed = cells.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     placed = running(placed, ["shard"], "bucket", ["key"], F.col("n"), "first_slot")
     placed = placed.withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    plan = written(placed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "n", "shard", "first_slot"))).alias("cells")), "plan")  # at most one cell a shard
-    ranked = running(linked, ["key"], "bucket", ["doc_id", "text_crc32", "size"], F.lit(1), "rank").join(small(plan, 400), "key")
+    # at most one cell a shard
+    plan = placed.groupBy("key").agg(F.sum("n").alias("copies"), F.sort_array(F.collect_list(F.struct("first", "n", "shard", "first_slot"))).alias("cells"))
+    ranked = running(linked, ["key"], "bucket", ["doc_id", "text_crc32", "size"], F.lit(1), "rank")
+    ranked = matched(ranked, written(plan, "plan"), ["key"], 40 + 40 * shards, "copies", every_row, "inner")
     cell = F.filter("cells", lambda c: (c["first"] <= F.col("rank")) & (F.col("rank") < c["first"] + c["n"]))[0]
     ranked = ranked.withColumn("cell", cell).select("doc_id", "size", "text_crc32", F.col("cell.shard").alias("at"), (F.col("cell.first_slot") + F.col("rank") - F.col("cell.first")).alias("slot"))
     beyond = F.col("slot") - _at(quota, F.col("at"))

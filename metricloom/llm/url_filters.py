@@ -2,20 +2,27 @@
 
 A rule is a regular expression with the literal tokens that any URL it matches
 must hold.  One aggregation counts the rules' tokens over all URLs; each rule
-is filed under its rarest.  A URL's tokens fetch candidate rules and only those
-run their expression.  Up to LITERAL_RULES rules the index is a literal map in
-the projection, so that no row is shuffled; beyond, tokens join the index."""
+is filed under its rarest, one without tokens under a token that every URL has.
+The tokens of the distinct URLs join the index and fetch candidate rules, and
+only those run their expression.  The index is a table, and there is one way
+for any number of rules; keys that many rows share, null URLs among them, are
+dealt over all tasks."""
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LITERAL_RULES = 2_000
+from .common import matched, small, written
+
+#: Bytes of a filed rule, for the size of the index.
+RULE_BYTES = 400
 
 
 @dataclass(frozen=True)
@@ -50,11 +57,19 @@ HOST_RULES = (
     host_rule("block", "net", "/es/"),
     host_rule("block", "net", "/fr/"),
 )
+# fixed values: words of hosts that sell bets, adult content, pills, loans or
+# copies, or that serve advertisements
+HOST_WORDS = (
+    "adserver", "ads", "adult", "baccarat", "banner", "bet", "bets", "betting", "bingo", "blackjack", "bookmaker", "cams", "casino", "cialis", "click",
+    "clickbait", "crack", "cracks", "dating", "escort", "gambling", "jackpot", "keygen", "loans", "lottery", "malware", "nude", "payday", "phishing",
+    "pills", "poker", "popunder", "popup", "porn", "roulette", "serial", "sex", "slots", "spam", "sportsbet", "sweepstakes", "torrent", "torrents", "track",
+    "tracker", "tracking", "viagra", "warez", "webcam", "xxx",
+)
+#: Path segments of pages without prose.
+PATH_WORDS = ("cart", "checkout", "login", "logout", "password", "register", "signin", "signup", "wp-login.php", "xmlrpc.php")
 PATTERN_RULES = (
-    pattern_rule("spam-farm", "block", r"\A(?:[^ ]*[.-])?spam-farm[.-]", "spam", "farm"),
-    pattern_rule("adult", "block", r"\A(?:[^ ]*[.-])?adult[.-]", "adult"),
-    pattern_rule("casino", "block", r"\A(?:[^ ]*[.-])?casino[.-]", "casino"),
-    pattern_rule("login", "block", r" (?:/[^ ]*)?/login(?:/|\z)", "login"),
+    *(pattern_rule(f"host:{w}", "block", rf"\A(?:[^ ]*[.-])?{w}[.-]", w) for w in HOST_WORDS),
+    *(pattern_rule(f"path:{w}", "block", rf" (?:/[^ ]*)?/{re.escape(w)}(?:/|\z)", *re.split("[^a-z0-9]+", w)) for w in PATH_WORDS),
 )
 
 
@@ -63,61 +78,58 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _tokens(host: Column, path: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(F.concat_ws(" ", host, path)), "[^a-z0-9]+"))
-
-
-def rarest(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[Rule]]:
-    """The rules by their rarest token among the distinct tokens of ``urls``
-    (tokens); collects one count for each token of a rule."""
-    vocabulary = sorted({t for r in rules for t in r.tokens})
-    known = F.array_intersect("tokens", F.array(*map(F.lit, vocabulary)))
-    counts = {r[0]: r[1] for r in urls.select(F.explode(known).alias("token")).groupBy("token").count().collect()}
-    index: dict[str, list[Rule]] = {}
-    for rule in rules:
-        index.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(rule)
-    return index
-
+def rule_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
+    """(name, verdict, pattern, tokens, weight) of the rules."""
+    text = json.dumps([{"name": r.name, "verdict": r.verdict, "pattern": r.pattern, "tokens": sorted(set(r.tokens)), "weight": r.weight} for r in rules])
+    kind = "array<struct<name: string, verdict: string, pattern: string, tokens: array<string>, weight: int>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
 
-def _struct(r: Rule) -> Column:
-    return F.struct(F.lit(r.weight).alias("weight"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"))
 
-
-def _best(fits: Column) -> Column:
-    """The heaviest of the fitting rules, by name among equals."""
-    ordered = F.array_sort(fits, lambda a, b: F.when(a["weight"] != b["weight"], b["weight"] - a["weight"]).otherwise(F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)))
-    return F.get(ordered, F.lit(0))
-
-
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES, default: str = "allow", url: str = "url") -> DataFrame:
+def _tokens(host: Column, path: Column) -> Column:
+    """The tokens of a URL, the empty one too."""
+    return F.array_distinct(F.concat(F.split(F.lower(F.concat_ws(" ", host, path)), "[^a-z0-9]+"), F.array(F.lit(""))))
+
+
+def filed(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(token, rules, rows): the rules under the token that is rarest among the
+    ``urls`` (token, a row for each of a URL), the least among equals; rows: the
+    URLs that have it."""
+    rules = written(rules.withColumn("tokens", F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))), "rules")
+    known = written(rules.select(F.explode("tokens").alias("token")).distinct(), "vocabulary")
+    counts = written(urls.join(small(known, 40), "token", "left_semi").groupBy("token").agg(F.count("*").alias("rows")), "counts")
+    each = rules.withColumn("token", F.explode("tokens")).join(small(counts, 40), "token", "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
+    columns = ["name", "verdict", "pattern", "weight"]
+    rarest = each.groupBy(*columns).agg(F.min(F.struct("rows", "token")).alias("at"))
+    # rules of one token: as many as the rules' author wrote for it
+    index = rarest.groupBy(F.col("at.token").alias("token"), F.col("at.rows").alias("rows")).agg(F.collect_list(F.struct(*columns)).alias("rules"))
+    return written(index, "index")
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = HOST_RULES + PATTERN_RULES, default: str = "allow", url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule (the name of the host rule that decides,
     else null) and verdict (the rule's, else a pattern rule's, else
     ``default``); columns of these names are replaced.
 
-    A null url or one without ``://`` has an empty host and path, which no host
-    rule fits.  Rows are judged one by one: ids may repeat or be null."""
+    ``rules``: Rule objects or a table as of ``rule_table``; none at all leaves
+    every verdict at ``default``.  A null url or one without ``://`` has an empty
+    host and path, which no host rule fits.  Rows are judged one by one: ids may
+    repeat or be null."""
     host, path = host_and_path(F.col(url))
-    extra = ["host", "path", "rule", "verdict"]
-    kept = [c for c in pages.columns if c not in extra]
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     rows = pages.select(*kept, host.alias("host"), path.alias("path"))
-    index = rarest(rows.select(_tokens(F.col("host"), F.col("path")).alias("tokens")), rules)
-    subject = F.concat_ws(" ", "host", "path")
-    if len(rules) <= LITERAL_RULES:
-        keys = sorted(index)
-        filed = F.create_map(*[x for k in keys for x in (F.lit(k), F.array(*map(_struct, index[k])))])
-        hit = F.array_intersect(_tokens(F.col("host"), F.col("path")), F.array(*map(F.lit, keys)))
-        candidates = F.flatten(F.transform(hit, lambda t: filed[t]))
-        best = _best(F.filter(candidates, lambda r: F.rlike(F.concat_ws(" ", F.col("host"), F.col("path")), r["pattern"])))
-        judged = rows.withColumn("_best", best)
-    else:
-        spark = pages.sparkSession
-        filed = spark.createDataFrame([(k, r.weight, r.name, r.verdict, r.pattern) for k, v in index.items() for r in v], "token string, weight int, name string, verdict string, pattern string")
-        subjects = rows.select("host", "path").distinct()
-        met = subjects.withColumn("token", F.explode(_tokens(F.col("host"), F.col("path")))).join(filed, "token").filter(F.rlike(subject, F.col("pattern")))
-        best = met.groupBy("host", "path").agg(F.collect_set(F.struct("weight", "name", "verdict", "pattern")).alias("fits"))  # rules that fit one URL
-        judged = rows.join(best, ["host", "path"], "left").withColumn("_best", _best(F.coalesce("fits", F.array().cast("array<struct<weight:int,name:string,verdict:string,pattern:string>>"))))
-    rule = F.when(F.col("_best.weight") >= 0, F.col("_best.name"))
-    return judged.select(*kept, "host", "path", rule.alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    if not isinstance(rules, DataFrame):
+        rules = rule_table(pages.sparkSession, rules)
+    subjects = written(rows.groupBy("host", "path").agg(F.count("*").alias("pages")), "subjects")
+    tokens = subjects.withColumn("token", F.explode(_tokens(F.col("host"), F.col("path"))))
+    index = filed(tokens.select("token"), rules)
+    candidates = matched(tokens, index, ["token"], RULE_BYTES, "rows", F.xxhash64("host", "path"), "inner")
+    fits = F.filter("rules", lambda r: F.rlike(F.concat_ws(" ", F.col("host"), F.col("path")), r["pattern"]))
+    heaviest = F.array_min(F.transform(fits, lambda r: F.struct((-r["weight"]).alias("after"), r["name"].alias("name"), r["verdict"].alias("verdict"))))
+    best = candidates.select("host", "path", "pages", heaviest.alias("best")).filter("best is not null")
+    best = written(best.groupBy("host", "path").agg(F.min("best").alias("best"), F.first("pages").alias("pages")), "best")
+    judged = matched(rows, best, ["host", "path"], 250, "pages", F.monotonically_increasing_id())
+    rule = F.when(F.col("best.after") <= 0, F.col("best.name"))
+    return judged.select(*kept, "host", "path", rule.alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def oracle() -> str:
