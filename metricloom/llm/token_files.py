@@ -29,24 +29,28 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, shared_dir, ship, slices, small, table, written
+from .common import as_bytes, shared_dir, ship, slices, small, written
+from .token_counts import cut_word
 
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME = 1 << 18
 LEVEL = 3
 END_ID = 2
-#: Words of one Python worker's table, words that the library encodes at once
-#: and bytes of text that are split at once.
-WORDS, AT_ONCE, SLICE = 1_000_000, 4_096, 2 << 20
+#: Bytes of one Python worker's table (with OVERHEAD for each entry), bytes and
+#: words that the library encodes at once, bytes of text that are split at once.
+TABLE, OVERHEAD, BYTES_AT_ONCE, AT_ONCE, SLICE = 192 << 20, 200, 1 << 18, 4_096, 2 << 20
+#: Longer words aren't remembered.
+REMEMBERED = 64
 
 
 class Encoder:
     """Ids of a text as the library gives them.  The library never merges over
     white space (its pre-tokenizer matches none), so words between ASCII white
-    space are encoded one by one; a bounded table keeps those already seen."""
+    space are encoded one by one, a long one in parts where splitting is certain;
+    a table of bounded bytes keeps short words already seen."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,18 +58,35 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        got = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in got]
+
+    def _learn(self, words: list[bytes]) -> None:
+        for word, ids in zip(words, self._encode(words), strict=True):
+            self.words[word] = ids
+            self.held += len(word) + len(ids) + OVERHEAD
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        if len(self.words) > WORDS:
+        if self.held > TABLE:
             self.words.clear()
+            self.held = 0
         known = self.words
-        fresh = list({w for words in split for w in words if w not in known})
-        for a in range(0, len(fresh), AT_ONCE):
-            part = fresh[a : a + AT_ONCE]
-            got = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
-        return [b"".join([known[w] for w in words]) for words in split]
+        fresh, size = [], 0
+        for word in {w for words in split for w in words if w not in known and len(w) <= REMEMBERED}:
+            fresh.append(word)
+            size += len(word)
+            if len(fresh) >= AT_ONCE or size >= BYTES_AT_ONCE:
+                self._learn(fresh)
+                fresh, size = [], 0
+        self._learn(fresh)
+        return [b"".join([ids if (ids := known.get(w)) is not None else self._long(w) for w in words]) for words in split]
+
+    def _long(self, word: bytes) -> bytes:
+        return b"".join([self._encode([part])[0] for part in cut_word(word)])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -171,8 +192,8 @@ def write_documents(documents: DataFrame, path: str, folder: str, end_id: int =
     """Encodes and writes all documents; returns the written files (file, part,
     n_docs, n_ids), part ascending with doc_id.
 
-    Texts are shuffled once, by ranges of doc_id (rows of one id by text), and
-    encoded after it.  A task writes its file under a name of its own attempt;
+    Texts are shuffled once, by ranges of doc_id (rows of one id by their text's
+    hash), and encoded after it.  A task writes its file under a name of its own attempt;
     only names that the driver's table lists count, so repeated and speculative
     attempts do no harm.  ``folder``: a URI that executors can write.  Null and
     empty texts are the end id alone; null ids come first."""
@@ -201,7 +222,9 @@ def write_documents(documents: DataFrame, path: str, folder: str, end_id: int =
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([uri, part, len(writer.docs), n], schema.types, strict=True)], schema=schema)
 
-    texts = documents.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, and of null ids, may be spread over several ranges
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    texts = texts.repartitionByRange(files, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     return written(texts.mapInArrow(run, "file string, part long, n_docs long, n_ids long"), "files")
 
 
@@ -253,6 +276,3 @@ def token_files(documents: DataFrame, path: str, folder: str | None = None, end_
     docs = read_documents(files).join(small(written(starts, "starts"), 300), "part")
     return docs.select("doc_id", (F.col("file_start") + F.col("ids_before")).alias("start"), "n_tokens", "ids_crc32", "file", "place")
 
-
-def query(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
-    return token_files(table(spark, sf_dir, "documents"), path).drop("file", "place")

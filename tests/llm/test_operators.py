@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from metricloom.llm import common, decontaminate, languages, mixing, near_duplicates, quality, sharding, substrings, token_counts, token_files, url_filters
@@ -126,12 +127,34 @@ def test_tokens(spark, docs, empty):
 
 
 def test_transducer_in_chunks(monkeypatch):
+    from tokenizers import Tokenizer
+
+    rng, lib = random.Random(8), Tokenizer.from_file(vocabulary())
+    pieces = ["a", "the", "ing", "Hello", "é", "e\u0301", "ß", "日本", "。", "，", "7", "12", "!", "..", "'s", "'", "|", "<|", "<|endoftext|>", "-", "_", " ", "\n", "\u00a0", "\x1c", "Σ", "İ", "ſ"]
+    some = [*texts(), *("".join(rng.choice(pieces) for _ in range(rng.randrange(1, 60))) for _ in range(300)), "x" * 700 + "é" * 30 + "y1" * 300]
+    for chunk, long, arcs in ((5, 6, 600_000), (16, 9, 40), (1 << 16, 1 << 12, 600_000)):
+        monkeypatch.setattr(token_counts, "CHUNK", chunk)
+        monkeypatch.setattr(token_counts, "ARCS", arcs)
+        monkeypatch.setattr(token_counts.cut_word, "__defaults__", (long,))
+        counter, coder = token_counts.Transducer(vocabulary()), token_files.Encoder(vocabulary())
+        for text in some:
+            data = (text or "").encode()
+            want = lib.encode(text or "", add_special_tokens=False).ids
+            assert counter.text(data) == len(want), (chunk, text)
+            assert np.frombuffer(coder.ids([data])[0], "<u4").tolist() == want, (long, text)
+
+
+def test_maps_compose_associatively(monkeypatch):
+    monkeypatch.setattr(token_counts, "CHUNK", 7)
     counter = token_counts.Transducer(vocabulary())
-    for text in texts():
-        whole = counter.text((text or "").encode())
-        monkeypatch.setattr(token_counts, "CHUNK", 5)
-        assert counter.text((text or "").encode()) == whole
-        monkeypatch.undo()
+    text = "one unbrokenlongword2with3digits and some'more — words\n at theend" * 3
+    maps = [((), 0, token_counts.Open()), *(counter.state_map(text.encode()[i : i + 7]) for i in range(0, len(text.encode()), 7))]
+    left, right = maps[0], maps[-1]
+    for m in maps[1:]:
+        left = counter.then(left, m)
+    for m in maps[-2::-1]:
+        right = counter.then(m, right)
+    assert left[1] + counter.close(left[2]) == right[1] + counter.close(right[2]) == counter.text(text.encode())
 
 
 def test_frames_detect_damage(tmp_path):
@@ -143,10 +166,12 @@ def test_frames_detect_damage(tmp_path):
     data = bytearray((tmp_path / "f").read_bytes())
     ok = token_files.Reader(lambda o, n: bytes(data[o : o + n]), len(data))
     assert np.frombuffer(ok.document(3), "<u4").sum() == sum(range(100_000))
-    ok.checks = ok.checks ^ 1
+    at = int(ok.at[ok.starts.searchsorted(ok.bounds[3], "right") - 1]) + 20
+    data[at] ^= 1  # a byte of a frame that the document lies in
     ok.last = (-1, b"")
-    with pytest.raises(ValueError):
+    with pytest.raises((ValueError, zstandard.ZstdError)):
         ok.document(3)
+    assert np.frombuffer(ok.document(0), "<u4").sum() == sum(range(100_000))  # others can still be read
 
 
 def test_sharding(spark, docs, empty):
