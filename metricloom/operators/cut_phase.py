@@ -25,8 +25,13 @@ class Cut:
         """Null where the source is."""
         return F.when(self.v.isNotNull(), c)
 
+    def stat(self, name: str) -> Column:
+        """A number of the whole partition: given, or by a window."""
+        given = self.spec.get("stats")
+        return given[name] if given else BUILDERS[name](self.v).over(self.all)
+
     def sum(self) -> Column:
-        return F.sum(self.v).over(self.all)
+        return self.stat("sum")
 
     def share_so_far(self) -> Column:
         return self.held(F.try_divide(F.sum(self.v).over(self.to_here) * 100, self.sum()))
@@ -39,6 +44,14 @@ class Cut:
         return F.count(self.v).over(self.all)
 
 
+BUILDERS = {"sum": F.sum, "avg": F.avg, "max": F.max, "sd": F.stddev_samp, "squares": lambda v: F.sum(v * v), "largest": lambda v: F.max(F.abs(v))}
+#: What operators need of the whole partition, and nothing of other groups.
+STATS = {
+    op: {n: BUILDERS[n] for n in names}
+    for op, names in {"percent_of_total": ("sum",), "contribution": ("sum",), "gap_to_leader": ("max",), "gap_to_avg": ("avg",), "zscore": ("avg", "sd"), "concentration": ("sum", "squares"), "normalize": ("sum", "largest")}.items()
+}
+
+
 def _abc(c: Cut) -> Column:
     first = F.row_number().over(c.rows) == 1
     share = c.share_so_far()
@@ -46,8 +59,8 @@ def _abc(c: Cut) -> Column:
 
 
 def _zscore(c: Cut) -> Column:
-    sd = F.stddev_samp(c.v).over(c.all)
-    return F.when(sd == 0, c.held(F.lit(0.0))).otherwise((c.v - F.avg(c.v).over(c.all)) / sd)
+    sd = c.stat("sd")
+    return F.when(sd == 0, c.held(F.lit(0.0))).otherwise((c.v - c.stat("avg")) / sd)
 
 
 def _contribution(c: Cut) -> Column:
@@ -65,16 +78,16 @@ CUT_OPS = {
     "running_total": lambda c: c.held(F.sum(c.v).over(c.to_here)),
     "contribution": _contribution,
     "percent_rank": lambda c: F.when(c.count() == 1, c.held(F.lit(0.0))).otherwise((c.rank() - 1) * 100 / F.nullif(c.count() - 1, F.lit(0))),
-    "gap_to_leader": lambda c: c.v - F.max(c.v).over(c.all),
-    "gap_to_avg": lambda c: c.v - F.avg(c.v).over(c.all),
+    "gap_to_leader": lambda c: c.v - c.stat("max"),
+    "gap_to_avg": lambda c: c.v - c.stat("avg"),
     "zscore": _zscore,
     "running_avg": lambda c: c.held(F.avg(c.v).over(c.to_here)),
     "top_n": lambda c: F.when(F.coalesce(c.rank() <= c.spec["n"], F.lit(False)), 1.0).otherwise(0.0),
     "bottom_n": lambda c: F.when(F.coalesce(c.rank(down=False) <= c.spec["n"], F.lit(False)), 1.0).otherwise(0.0),
     "rank_pct_change": lambda c: c.rank(),
     # sum of squared shares without a window in a window
-    "concentration": lambda c: F.try_divide(F.sum(c.v * c.v).over(c.all), c.sum() * c.sum()),
+    "concentration": lambda c: F.try_divide(c.stat("squares"), c.sum() * c.sum()),
     "abc_class": _abc,
     "pareto_flag": lambda c: c.held(F.when((c.share_so_far() <= c.spec.get("share", 80)) | (F.row_number().over(c.rows) == 1), 1.0).otherwise(0.0)),
-    "normalize": lambda c: F.try_divide(c.v, c.sum() if c.spec.get("method", "max") == "sum" else F.max(F.abs(c.v)).over(c.all)),
+    "normalize": lambda c: F.try_divide(c.v, c.sum() if c.spec.get("method", "max") == "sum" else c.stat("largest")),
 }

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from ..errors import BindError, FilterError
 
-ALIASES = {"==": "eq", "=": "eq", "equals": "eq", "<>": "ne", "!=": "ne", "not_equals": "ne", "<": "lt", "<=": "lte", "le": "lte", ">": "gt", ">=": "gte", "ge": "gte", "regex": "regexp", "iregexp": "regexp_insensitive"}
+# fixed values: the query language's spellings
+ALIASES = {
+    "==": "eq", "=": "eq", "equals": "eq", "<>": "ne", "!=": "ne", "not_equals": "ne", "<": "lt", "<=": "lte", "le": "lte", ">": "gt", ">=": "gte", "ge": "gte",
+    "not like": "not_like", "notlike": "not_like", "not between": "not_between", "is null": "is_null", "isnull": "is_null", "is not null": "is_not_null",
+    "notnull": "is_not_null", "regex": "regexp", "iregexp": "regexp_insensitive", "regex_insensitive": "regexp_insensitive",
+}
 PATTERN_CHARS, MASK_DEPTH = 256, 3
 
 
@@ -41,12 +46,31 @@ OPERATORS = {
 }
 
 
+def canonical(op: str, error: type = FilterError) -> str:
+    """An operator's name, from any spelling in any case."""
+    name = " ".join(str(op).lower().split())
+    name = ALIASES.get(name, name)
+    if name not in OPERATORS:
+        raise error(f"no filter operator {op!r}")
+    return name
+
+
+def operand(op: str, values, code: str = ""):
+    """The value that an operator takes of a request's list of values."""
+    values = list(values) if isinstance(values, (list, tuple)) else [] if values is None else [values]
+    if op in ("is_null", "is_not_null"):
+        return None
+    if op == "in":
+        return values
+    wanted = 2 if op in ("between", "not_between") else 1
+    if len(values) != wanted:
+        raise FilterError(f"filter {code!r}: {op} takes {wanted} value(s), not {len(values)}")
+    return values if wanted == 2 else values[0]
+
+
 def predicate(column: Column, op: str, value=None) -> Column:
     """A test that a null value never passes (but ``is_null``)."""
-    op = ALIASES.get(op, op)
-    if op not in OPERATORS:
-        raise FilterError(f"no filter operator {op!r}")
-    return OPERATORS[op](column, value)
+    return OPERATORS[canonical(op)](column, value)
 
 
 def mask(node: dict | list, column, depth: int = 1) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import calendar as _cal
+import re
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
@@ -11,6 +12,22 @@ from ..errors import TimePlanError
 GRAINS = ("day", "week", "month", "quarter", "year")
 PER_YEAR = {"day": 365, "week": 52, "month": 12, "quarter": 4, "year": 1}
 MONTHS = {"month": 1, "quarter": 3, "year": 12}
+# fixed values: English names, whatever the locale
+MONTH_NAMES = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+PARTS = ("year", "quarter", "month", "week", "day")
+WIDE_DAYS = 3650
+
+
+class Fiscal(int):
+    """The month in which fiscal quarters start; years start in ``year``: there
+    too, or in January where a request chose calendar years."""
+
+    year: int
+
+    def __new__(cls, start: int, year: int | None = None) -> Fiscal:
+        out = super().__new__(cls, start)
+        out.year = year or start
+        return out
 
 
 def add_months(d: date, n: int) -> date:
@@ -31,7 +48,7 @@ def truncate(d: date | datetime | str, grain: str, fiscal_start: int = 1) -> dat
         return d - timedelta(d.weekday())
     if grain == "month":
         return d.replace(day=1)
-    shift = fiscal_start - 1
+    shift = (getattr(fiscal_start, "year", fiscal_start) if grain == "year" else fiscal_start) - 1
     base = add_months(d.replace(day=1), -shift)
     month = (base.month - 1) // 3 * 3 + 1 if grain == "quarter" else 1
     if grain not in ("quarter", "year"):
@@ -134,30 +151,68 @@ def label(d: date, grain: str, fiscal_start: int = 1) -> str:
         base = add_months(d, 1 - fiscal_start)
         return f"{base.year}-Q{(base.month - 1) // 3 + 1}"
     if grain == "year":
-        return str(add_months(d, 1 - fiscal_start).year)
-    return d.strftime("%b %Y" if grain == "month" else "%d %b")
+        return str(add_months(d, 1 - getattr(fiscal_start, "year", fiscal_start)).year)
+    month = MONTH_NAMES[d.month - 1][:3]
+    return f"{month} {d.year}" if grain == "month" else f"{d.day} {month}"
+
+
+def parsed(value, fmt: str | None = None) -> date:
+    """A request's date: ISO, a year and month, or as ``fmt`` (yyyymm, dd/mm/yyyy
+    and the like) has it."""
+    if isinstance(value, date):
+        return value
+    text = str(value).strip()
+    try:
+        if re.fullmatch(r"\d{4}-\d{2}(-\d{2}.*)?", text):
+            return date.fromisoformat(f"{text}-01"[:10])
+        fmt = (fmt or "yyyymm").lower()
+        digits = re.sub(r"\D", "", text).zfill(len(re.sub(r"[^ymd]", "", fmt)))
+        fields = {c: "".join(d for d, f in zip(digits, re.sub(r"[^ymd]", "", fmt), strict=True) if f == c) for c in "ymd"}
+        return date(int(fields["y"]), int(fields["m"] or 1), int(fields["d"] or 1))
+    except ValueError as e:
+        raise TimePlanError(f"can't read the date {value!r}" + (f" as {fmt}" if fmt else "")) from e
+
+
+def part_values(part: str, values) -> tuple[int, ...]:
+    """Whole numbers of a time part; months by name, number or padded number."""
+    names = {n: i + 1 for i, m in enumerate(MONTH_NAMES) for n in (m.lower(), m[:3].lower())} | {"sept": 9}
+    out = []
+    for v in values if isinstance(values, (list, tuple)) else [values]:
+        text = str(v).strip()
+        if part == "month" and text.lower() in names:
+            out.append(names[text.lower()])
+        elif isinstance(v, (bool, float)) or not text.lstrip("-").isdigit():
+            raise TimePlanError(f"can't read {part} {v!r}: a whole number" + (" or a month's name" if part == "month" else ""))
+        else:
+            out.append(int(text))
+    return tuple(out)
+
+
+def matches(bucket: date, parts: dict[str, tuple[int, ...]], fiscal_start: int = 1) -> bool:
+    """Whether a bucket has one of the values of each part; with weeks, years are
+    those of ISO weeks."""
+    year = bucket.isocalendar().year if "week" in parts else bucket.year if getattr(fiscal_start, "year", fiscal_start) == 1 else add_months(bucket, 1 - fiscal_start).year
+    quarter = (add_months(bucket.replace(day=1), 1 - fiscal_start).month - 1) // 3 + 1
+    have = {"year": year, "quarter": quarter, "month": bucket.month, "week": bucket.isocalendar().week, "day": bucket.day}
+    return all(have[p] in v for p, v in parts.items())
 
 
 def selection(spec, grain: str, fiscal_start: int = 1) -> tuple[date, ...]:
     """Buckets of a request's time value: a date, a list of dates, {from, to}, or
-    parts {year, quarter, month} that conjoin."""
+    parts {year, quarter, month, week, day} that conjoin; years are calendar
+    years, and none may fit.  Parts without a year are ``matches`` of the
+    source's buckets."""
     if isinstance(spec, (str, date)):
         return (truncate(spec, grain, fiscal_start),)
     if isinstance(spec, (list, tuple)):
         return tuple(sorted({truncate(x, grain, fiscal_start) for x in spec}))
     if "from" in spec:
         return tuple(spine(truncate(spec["from"], grain, fiscal_start), truncate(spec["to"], grain, fiscal_start), grain))
-    names = {m.lower(): i for i in range(1, 13) for m in (_cal.month_name[i], _cal.month_abbr[i])}
-    as_list = lambda v: v if isinstance(v, list) else [v]
-    number = lambda v: names.get(str(v).lower()) or int(v)
-    out = []
-    for year in as_list(spec["year"]):
-        for d in spine(truncate(date(int(year), 1, 1), grain, fiscal_start), date(int(year), 12, 31), grain):
-            fits = d.year == int(year)
-            fits &= "month" not in spec or d.month in map(number, as_list(spec["month"]))
-            fits &= "quarter" not in spec or (add_months(d, 1 - fiscal_start).month - 1) // 3 + 1 in map(int, as_list(spec["quarter"]))
-            if fits:
-                out.append(d)
-    if not out:
-        raise TimePlanError("the time selection is empty")
-    return tuple(out)
+    parts = {p: part_values(p, v) for p, v in spec.items() if v not in (None, [], "")}
+    if finer := [p for p in parts if GRAINS.index(p) < GRAINS.index(grain)]:
+        raise TimePlanError(f"time part {finer[0]} is finer than the grain {grain}")
+    if "year" not in parts:
+        raise TimePlanError("without a year the source's buckets decide")
+    fiscal_start = Fiscal(fiscal_start, 1)
+    first, last = truncate(date(min(parts["year"]), 1, 1), grain, fiscal_start), date(max(parts["year"]), 12, 31)
+    return tuple(d for d in spine(first, last, grain) if matches(d, parts, fiscal_start))

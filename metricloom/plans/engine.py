@@ -22,23 +22,28 @@ from ..functions import aggregates, hooks
 from ..functions.column import COLUMN_FUNCTIONS
 from ..functions.measure import MEASURE_FUNCTIONS
 from ..operators import expressions, filters
-from ..operators.cut_phase import CUT_OPS, Cut
+from ..operators.cut_phase import CUT_OPS, STATS, Cut
 from ..operators.windows import entity_window
 from ..sources import readers
 from . import calendar as cal
+from . import definition
+from .definition import folded, listed
 
 CALENDAR_UNITS = ("days", "weeks", "months", "quarters", "years")
 PRESETS = {"yoy": {"years": 1}, "mom": {"months": 1}, "wow": {"weeks": 1}, "qoq": {"periods": 1}, "pop": {"periods": 1}}
 COMPARISONS = {">": operator.gt, "gt": operator.gt, ">=": operator.ge, "gte": operator.ge, "<": operator.lt, "lt": operator.lt, "<=": operator.le, "lte": operator.le, "=": operator.eq, "==": operator.eq, "eq": operator.eq, "!=": operator.ne, "<>": operator.ne, "ne": operator.ne}
 TREND_OPS = ("trend", "trend_arithmetic", "filtered_trend", "shifted_trend")
+# fixed values: the operators' names
+COMBO_OPS = ("point", "window", "trend", "trend_arithmetic", "arithmetic", "fn", "expr", "constant", "dimension", "predicate", "hook", "filtered_point", "filtered_window", "filtered_trend", "filtered_compare", "expanding_window", "shifted_trend", "rate", "cumulative_point", "n_period_avg", "weighted_window", "snapshot_compare", "band", "envelope")
+PERIOD_OPS = ("lag", "lead", "index", "vs_target", "threshold", "diff", "pct_change", "compare", "annualize", "vs_prior_window", "delta_contribution", "baseline_index", "compound_growth", "seasonal_adjust")
+#: The last of the columns that order rows in entity windows.
+ROW = "_metricloom_row"
+#: Operators of plugins: name -> builder of a Column from (plan, spec, shifts).
+PLUGIN_OPS: dict = {}
 #: Operators that may not be shifted in time.
 FIXED = (*CUT_OPS, *TREND_OPS, "hook", "dimension")
 
 
-def folded(name: str) -> str:
-    return name.strip().lower().replace(" ", "_")
-
-
 def resolved(node, parameters: dict):
     """``when:`` and ``from_param:`` overlays replaced by what the parameters
     choose."""
@@ -71,12 +76,12 @@ def desugared(kpi: dict) -> dict:
             if op == "compare":
                 kpi["measures"][f"__{key}__src"] = {"of": base, "op": "point"}
                 spec["of"] = f"__{key}__src"
-        elif (spec.get("where") or spec.get("also_where")) and spec.get("of") in kpi["base_measures"]:
+        elif (spec.get("where") or spec.get("also_where") or spec.get("ignore_filters")) and spec.get("of") in kpi["base_measures"]:
             base = f"__{key}__of"
             source = dict(kpi["base_measures"][spec["of"]])
             masks = [m for m in (source.get("where"), spec.get("where"), spec.get("also_where")) if m]
-            kpi["base_measures"][base] = {**source, "where": {"and": masks}}
-            spec = {k: v for k, v in spec.items() if k not in ("where", "also_where")} | {"of": base}
+            kpi["base_measures"][base] = source | ({"where": {"and": masks}} if masks else {}) | {"skip_filters": listed(spec.get("ignore_filters"))}
+            spec = {k: v for k, v in spec.items() if k not in ("where", "also_where", "ignore_filters")} | {"of": base}
         if op == "compare":
             mode = spec.get("mode", "yoy")
             offset = PRESETS.get(mode) or PRESETS.get(spec.get("versus", "pop")) if not isinstance(spec.get("versus"), dict) else spec["versus"]
@@ -98,22 +103,45 @@ class Engine:
 
     def __init__(self, spark: SparkSession, kpi: dict, model: dict, datasets: dict, measures: list[str], selection=None, request_filters: dict | None = None, parameters: dict | None = None, dimensions: list[str] | None = None, mappings: dict | None = None):
         self.parameters = {k: p.get("default") for k, p in (kpi.get("parameters") or {}).items()} | (parameters or {})
-        kpi = resolved(kpi, self.parameters)
-        kpi["_measures"] = kpi.get("measures", {})
+        kpi = definition.checked(resolved(kpi, self.parameters), (*COMBO_OPS, *PERIOD_OPS, *CUT_OPS, *PLUGIN_OPS))
+        kpi["_measures"] = kpi["measures"]
+        self.filters = definition.filter_specs(kpi)
         self.kpi = desugared(kpi)
         self.spark, self.model, self.datasets = spark, model, datasets
         self.bases, self.specs = self.kpi["base_measures"], kpi_measures({"measures": self.kpi["measures"]})
         self.requested = [n for m in measures for n in ([m] if m in self.specs or m in [d["name"] for d in self.kpi.get("dimensions", [])] else [k for k in (f"{m}_low", f"{m}_high") if k in self.specs] or self._missing(m))]
         self.time = kpi.get("time")
-        self.grain = self.parameters.get("time_grain") or (self.time or {}).get("grain", "month")
-        self.fiscal = (self.time or {}).get("fiscal_start_month", 4) if (self.time or {}).get("calendar") == "fiscal" else 1
+        if rule := kpi.get("green_when"):
+            self.requested += [rule["of"]] if rule["of"] not in self.requested else []
+        self.grain = self._grain()
+        self.fiscal = cal.Fiscal((self.time or {}).get("fiscal_start_month", 4) if (self.time or {}).get("calendar") == "fiscal" else 1)
+        self.parts = {p: cal.part_values(p, v) for p, v in selection.items() if v not in (None, [], "")} if isinstance(selection, dict) and "from" not in selection else {}
+        if "year" in self.parts or (self.time or {}).get("year_basis") == "calendar":
+            self.fiscal = cal.Fiscal(self.fiscal, 1)  # quarters stay fiscal
         self.dims = {d["name"]: d for d in self.kpi.get("dimensions", [])}
         self.request_grain = list(dimensions if dimensions is not None else self.kpi.get("default_dimensions", list(self.dims)))
         self.cuts = {c["name"]: c for c in self.kpi.get("cuts") or [{"name": "all"}]}
         self.request_filters, self.mappings = request_filters or {}, mappings or {}
-        self.selection = cal.selection(selection, self.grain, self.fiscal) if self.time and selection is not None else None
+        bounded = selection is not None and (not self.parts or "year" in self.parts) and selection != {}
+        self.selection = cal.selection(selection, self.grain, self.fiscal) if self.time and bounded else None
+        self.related: list[Engine] = []
+        self.lenient = False
         self.emitted = self._emitted()
         self.cut_frames: dict[str, DataFrame] = {}
+        self.plans: dict[str, CutPlan] = {}
+        self.dropped_cuts: list[dict] = []
+
+    def _grain(self) -> str:
+        time = self.time or {}
+        grain = self.parameters.get("time_grain") or time.get("grain", "month")
+        if time and grain not in (time.get("grains") or [time.get("grain", "month"), grain]):
+            raise BindError(f"parameters.time_grain {grain!r} is not one of time.grains {time['grains']}")
+        if grain not in cal.GRAINS:
+            raise BindError(f"no grain {grain!r}")
+        finest = time.get("source_grain")
+        if finest and cal.GRAINS.index(grain) < cal.GRAINS.index(finest):
+            raise BindError(f"parameters.time_grain {grain!r} is finer than time.source_grain {finest!r}")
+        return grain
 
     def _missing(self, name: str):
         raise BindError(f"no measure {name!r}")
@@ -121,15 +149,52 @@ class Engine:
     # -- planning -------------------------------------------------------
 
     def _emitted(self) -> list[str]:
-        first = self.parameters.get("only_cut") or self.parameters.get("output_cut") or self.kpi.get("default_cut") or next(iter(self.cuts))
-        out = [first]
-        if not self.parameters.get("only_cut"):
-            for name in out:
-                out += [c for c in self.cuts[name].get("also_emit", []) if c not in out]
-            wanted = self.parameters.get("emit_cuts")
-            out = [c for c in out if c in wanted] if wanted else out
+        """only_cut alone, else output_cut, else the requested measures' cuts
+        (the default cut for one without), with what they also emit; emit_cuts
+        leaves of these its own and the first ones."""
+        chosen = self.parameters.get("only_cut") or self.parameters.get("output_cut")
+        default = self.kpi.get("default_cut") or next(iter(self.cuts))
+        roots = [chosen] if chosen else [c for k in self.requested for c in listed(self.specs.get(k, {}).get("cuts")) or [default]]
+        roots = list(dict.fromkeys(roots or [default]))
+        out: list[str] = []
+
+        def walk(name: str) -> None:
+            if name not in self.cuts:
+                raise BindError(f"no cut {name!r}; declared: {sorted(self.cuts)}")
+            if name not in out:
+                out.append(name)
+                if not self.parameters.get("only_cut") and self.cuts[name].get("pack_also_emit", True):
+                    for extra in listed(self.cuts[name].get("also_emit")):
+                        walk(extra)
+
+        for root in roots:
+            walk(root)
+        wanted = listed(self.parameters.get("emit_cuts"))
+        return [c for c in out if c in wanted or c in roots] if wanted else out
+
+    def compatible(self) -> list[str]:
+        """The emitted cuts whose dimensions the source has; the first may not
+        be missing."""
+        out = []
+        for name in self.emitted:
+            missing = [d for d in self.cut_dims(self.cuts[name]) if not self.has_dimension(d)]
+            named = [k for k in self.requested if name in listed(self.specs.get(k, {}).get("cuts"))]
+            if not missing:
+                out.append(name)
+            elif named:
+                raise BindError(f"measures.{named[0]} cuts {name!r} is not on this extract: it lacks {missing}")
+            elif name == self.emitted[0]:
+                raise BindError(f"cut {name!r} is not on this extract: it lacks {missing}")
+            else:
+                self.dropped_cuts.append({"name": name, "reason": "missing_dimensions", "dimensions": missing})
         return out
 
+    def has_dimension(self, name: str) -> bool:
+        if self.related:
+            return any(e.has_dimension(name) for e in self.related)
+        self.source()
+        return folded(self.dims.get(name, {}).get("from", name)) in self.names
+
     def cut_dims(self, cut: dict) -> list[str]:
         grain = [d for d in self.request_grain if d not in cut.get("exclude_from_grain", [])]
         return grain + [d for d in cut.get("group_by", []) if d not in grain]
@@ -138,6 +203,11 @@ class Engine:
         if not hasattr(self, "_source"):
             self._source = readers.load(self.spark, self.model, self.datasets)
             self.names = {folded(c): c for c in self._source.columns}
+            for name, b in self.bases.items():
+                if "agg" not in b and folded(name) in self.names and not b.get("replace") and (b.get("expr") or b.get("op") or b.get("over") or b.get("lookup")):
+                    raise BindError(f"base_measures.{name} has a column's name; say replace: true")
+            if any(b.get("over") for b in self.bases.values()):
+                self._source = self._source.withColumn(ROW, F.monotonically_increasing_id())
         return self._source
 
     def physical(self, name: str) -> Column:
@@ -190,7 +260,9 @@ class Engine:
             o = b["over"]
             as_list = lambda v: [v] if isinstance(v, str) else list(v or [])
             of = o.get("of") or b.get("of")
-            return entity_window(o["fn"], expressions.number(read(of)) if of else None, [read(c) for c in as_list(o.get("partition_by"))], [read(c) for c in as_list(o.get("order_by"))], int(o.get("n", 1)))
+            # rows that the named order leaves equal: by time, dimensions, place in the source
+            ties = [*([self.time_column()] if self.time else []), *[self.dimension(d) for d in self.dims if self.has_dimension(d)], F.col(ROW)]
+            return entity_window(o["fn"], expressions.number(read(of)) if of else None, [read(c) for c in as_list(o.get("partition_by"))], [*[read(c) for c in as_list(o.get("order_by"))], *ties], int(o.get("n", 1)))
         if b.get("op"):
             columns = b.get("columns", [])
             named = isinstance(columns, dict)
@@ -246,33 +318,75 @@ class Engine:
 
     # -- filters --------------------------------------------------------
 
-    def _filter_columns(self) -> list[tuple[str, Column, str, object]]:
-        """(code, column, operator, value) of each valued request filter."""
-        declared = {f["code"] if "code" in f else f["name"]: f for f in self.kpi.get("filters", [])}
-        out = []
+    def _given(self) -> dict[str, list]:
+        """code -> values of the request's filters, with defaults and composed
+        codes; time filters left out."""
+        time = self.time or {}
+        out = {}
         for code, given in self.request_filters.items():
             value = given.get("values", given.get("value")) if isinstance(given, dict) else given
-            if value in (None, "", []) or (self.time and code == self.time.get("filter_code")):
+            out[code] = listed(value)
+        by_name = {folded(c): c for c in out}
+        used = set()
+        if time.get("compose"):
+            used |= {folded(n) for n in definition.template_names(time["compose"]["template"])}
+        for code, spec in self.filters.items():
+            if spec["compose"]:
+                names = definition.template_names(spec["compose"])
+                if any(folded(n) in by_name for n in names):
+                    out[code] = [definition.expanded(spec["compose"], self.request_filters)]
+                    used |= {folded(n) for n in names} - {folded(code)}
+            present = by_name.get(folded(code))
+            if spec["required"] and not [v for v in (out.get(present) or []) if v is not None]:
+                raise BindError(f"filters.{code} is required: it can't be left out or blank")
+            if present is None and spec["default"] is not None and code not in out:
+                out[code] = spec["default"]
+        used |= {folded(time.get("filter_code") or "")} if time else set()
+        used |= {folded(c) for c in (time.get("periods") or {}).values()}
+        return {c: v for c, v in out.items() if folded(c) not in used}
+
+    def bound_filters(self) -> list[dict]:
+        """code, column, op, values and stage of each filter that has a value.
+        Extract filters that an emitted cut or a measure ignores work per cut."""
+        if hasattr(self, "_bound"):
+            return self._bound
+        ignored = {folded(c) for n in self.emitted for k in ("ignore_filters", "reset_filters") for c in listed(self.cuts[n].get(k))}
+        ignored |= {folded(c) for b in self.bases.values() for c in b.get("skip_filters", [])}
+        specs = {folded(c): s for c, s in self.filters.items()}
+        mappings = {folded(c): m for c, m in self.mappings.items()}
+        out = []
+        for code, values in self._given().items():
+            spec, mapped = specs.get(folded(code), {}), mappings.get(folded(code), {})
+            op = spec.get("op") or filters.canonical(mapped.get("operator") or "in")
+            if not [v for v in values if v is not None] and op not in ("is_null", "is_not_null"):
                 continue
-            spec = declared.get(code) or self.mappings.get(code) or {}
-            column = spec.get("column") or spec.get("column_name") or code
-            column = self.dims[column].get("from", column) if column in self.dims else column
-            self.source()
-            if folded(column) not in self.names:
-                raise FilterError(f"filter {code!r} has no column")
-            op = filters.ALIASES.get(spec.get("operator", "in"), spec.get("operator", "in"))
-            if op == "in" and not isinstance(value, list):
-                value = [value]
-            if op not in ("in", "between", "not_between") and isinstance(value, list):
-                value = value[0] if value else None
-            out.append((code, self.physical(column), op, value))
+            column = spec.get("column") or mapped.get("column_name") or code
+            physical = self.dims[column].get("from", column) if column in self.dims else column
+            if spec.get("apply") != "result" and not self.related:
+                self.source()
+                if folded(physical) not in self.names:
+                    if self.lenient:
+                        continue
+                    raise FilterError(f"filter {code!r} has no column")
+            if op == "eq" and len(values) > 1 and not spec:
+                op = "in"  # a mapping's single-value operator with several values
+            stage = spec.get("apply") or "extract"
+            if stage == "extract" and ({folded(code), folded(column), folded(physical)} & ignored):
+                stage = "calc"
+            out.append({"filter_code": code, "column": physical if stage != "result" else column, "op": op, "values": values, "stage": stage, "apply": stage, "operand": filters.operand(op, values, code), "names": {folded(code), folded(column), folded(physical)}})
+        self._bound = out
         return out
 
+    def blank_filters(self) -> list[str]:
+        have = {f["filter_code"] for f in self.bound_filters()}
+        return [c for c, v in self._given().items() if c not in have and not [x for x in v if x is not None]]
+
     # -- measures -------------------------------------------------------
 
     def frame(self) -> DataFrame:
         """All emitted cuts: output_cut, dimensions, requested measures."""
         out = None
+        self.emitted = self.compatible()
         for name in self.emitted:
             part = self.cut(name)
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
@@ -280,21 +394,51 @@ class Engine:
 
     def cut(self, name: str) -> DataFrame:
         if name not in self.cut_frames:
-            self.cut_frames[name] = CutPlan(self, self.cuts[name]).result()
+            self.plans[name] = CutPlan(self, self.cuts[name])
+            self.cut_frames[name] = self.plans[name].result()
         return self.cut_frames[name]
 
+    def dropped_groups(self) -> DataFrame | None:
+        """cut and dimensions of the groups that ``having`` dropped."""
+        out = None
+        for name in self.emitted:
+            self.cut(name)
+            part = self.plans[name].dropped
+            if part is not None:
+                part = part.select(F.lit(name).alias("cut"), *[F.col(f"`{d}`") for d in self.plans[name].dims])
+                out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return out
+
+    def span_start(self) -> date | None:
+        """The first bucket that any requested measure reads, on any cut."""
+        if not hasattr(self, "_span_start"):
+            self._span_start = None  # while it is looked for, expanding windows start with their year
+            spans = []
+            for name in self.emitted:
+                plan = CutPlan(self, self.cuts[name])
+                for key in self.requested:
+                    if key in self.specs and plan._on_this_cut(key):
+                        plan.build(key)
+                spans += plan.span
+            self._span_start = min(spans) if spans else None
+        return self._span_start
+
 
 class CutPlan:
     def __init__(self, engine: Engine, cut: dict):
         self.e, self.spec = engine, cut
         self.dims = engine.cut_dims(cut)
         self.leaves: dict[str, Column] = {}
+        self.folded: dict[str, tuple] = {}
         self.used: set[str] = set()
         self.series_of: dict[str, tuple[str, date, date, str | None]] = {}
         self.span: list[date] = list(engine.selection or [])
         self.pending: dict[str, Column] = {}
         self.done: list[str] = []
         self.cut_phase: list[str] = []
+        self.row_dims: list[str] = []
+        self.dropped: DataFrame | None = None
+        self.survivors: DataFrame | None = None
 
     # leaves
 
@@ -311,19 +455,39 @@ class CutPlan:
     def _aggregate(self, base: str, test: Column | None) -> Column:
         b = self.e.bases[base]
         if "agg" not in b:
-            raise BindError(f"{base!r} is a row helper")
+            return self._single(base, test)
         self.used.add(base)
+        if self.e.related and b["agg"] in ("avg", "weighted_avg"):  # of joined models: sums and weights
+            v, w = (F.when(test, c) if test is not None else c for c in (F.col(f"`b__{base}`"), F.col(f"`w__{base}`")))
+            return F.try_divide(F.sum(v), F.sum(w))
+        if self.e.related:
+            return aggregates.aggregate("sum" if b["agg"] == "count" else b["agg"], F.col(f"`b__{base}`"), test)
         weight = self.e.base_column(b["weight_column"]) if b.get("weight_column") else None
         if weight is not None:
             weight = F.col(f"`w__{base}`")
         return aggregates.aggregate(b["agg"], F.col(f"`b__{base}`"), test, order=F.col("_t"), weight=weight, percentile=float(b.get("percentile", 0.5)))
 
+    def _single(self, base: str, test: Column | None) -> Column:
+        """A row helper's one value in its group."""
+        identity = self.e.kpi.get("identity_grain")
+        if not identity:
+            raise BindError(f"{base!r} is a row helper: give it agg:, or declare identity_grain")
+        if set(map(folded, identity)) != set(map(folded, self.dims)):
+            raise BindError(f"row helper {base!r} needs cuts whose grain is identity_grain {identity}; {self.spec['name']!r} has {self.dims}")
+        self.used.add(base)
+        v, one = F.col(f"`b__{base}`"), F.lit(1)
+        n = F.count(one if test is None else F.when(test, one))
+        first = F.max(v if test is None else F.when(test, v))
+        return F.when(n > 1, F.raise_error(F.lit(f"{base}: rows are not unique at identity_grain")).cast("double")).otherwise(first)
+
     def leaf(self, base: str, periods: tuple[date, ...], window: bool) -> Column:
         name = f"l{len(self.leaves)}"
         test = self._period_test(periods)
         value = self._aggregate(base, test)
         b = self.e.bases[base]
-        zero = b["agg"] in aggregates.ZERO_WHEN_EMPTY
+        zero = b.get("agg") in aggregates.ZERO_WHEN_EMPTY
+        if b.get("agg") in self.FOLDED:
+            self.folded[name] = (base, test, window)
         if window:
             value = F.coalesce(value, F.lit(0.0)) if zero else value
         elif zero:
@@ -402,7 +566,7 @@ class CutPlan:
             return self.leaf(of, self.periods(self.bounds(self._window(w), shifts)), True)
         if op == "expanding_window":
             start, end = cal.window_bounds(self.anchor(shifts), self.e.grain, {"range": "ytd"}, self.e.fiscal)
-            return self.leaf(of, self.periods((min([start, *self.span]), end)), True)
+            return self.leaf(of, self.periods((min(start, self.e.span_start() or start), end)), True)
         if op in TREND_OPS:
             return self._trend(spec, shifts)
         if op == "arithmetic":
@@ -465,6 +629,8 @@ class CutPlan:
             s = self.series(of, *self.bounds(self._window(spec), shifts))
             ctx = hooks.Context(self.anchor(shifts), self.e.grain, self._length(spec))
             return F.try_divide(hooks.at_anchor(s, ctx) * hooks.mean(hooks.values(s)), hooks.same_month(s, ctx, False))
+        if op in PLUGIN_OPS:
+            return PLUGIN_OPS[op](self, spec, shifts)
         raise BindError(f"no operator {op!r}")
 
     def _window(self, spec: dict) -> dict:
@@ -484,14 +650,20 @@ class CutPlan:
         return MEASURE_FUNCTIONS[name](*values, **spec.get("params", {}))
 
     def _predicate(self, p: dict, shifts: tuple) -> Column:
-        v = self.value(p["of"], shifts)
+        return self._met(p, lambda n: self.value(n, shifts))
+
+    @staticmethod
+    def _met(p: dict, value) -> Column:
+        """A predicate over ``value`` of names; null fails."""
+        v = value(p["of"])
         if p["cmp"] in ("between", "not_between"):
             met = v.between(F.lit(p["low"]), F.lit(p["high"]))
             met = met if p["cmp"] == "between" else ~met
         elif p["cmp"] in ("is_null", "is_not_null"):
             met = v.isNull() if p["cmp"] == "is_null" else v.isNotNull()
         else:
-            met = COMPARISONS[p["cmp"]](v, self.value(p["vs"] if "vs" in p else p["value"], shifts))
+            other = p["vs"] if "vs" in p else p["value"]
+            met = COMPARISONS[p["cmp"]](v, value(other) if isinstance(other, str) else F.lit(float(other)))
         return F.coalesce(met, F.lit(False))
 
     def _shift(self, op: str, spec: dict, shifts: tuple) -> Column:
@@ -584,42 +756,103 @@ class CutPlan:
             self.pending[key] = self.measure(key, spec, ())
         self.done.append(key)
 
+    def ignored(self) -> set[str]:
+        """Filters that this cut leaves out; a rolled up cut has its child's."""
+        cut = self.spec
+        while cut.get("rollup_from"):
+            cut = self.e.cuts[cut["rollup_from"]]
+        return {folded(c) for k in ("ignore_filters", "reset_filters") for c in listed(cut.get(k))}
+
     def facts(self) -> DataFrame:
+        from . import relations
+
+        df = relations.joined_facts(self) if self.e.related else self.own_facts()
+        if self.survivors is not None:
+            keys = [c for c in self.survivors.columns]
+            on = functools.reduce(operator.and_, [F.col(f"`{k.removeprefix('k__')}`").eqNullSafe(F.col(f"`{k}`")) for k in keys])
+            df = df.join(self.survivors, on, "left_semi")
+        return df
+
+    def own_facts(self) -> DataFrame:
         e = self.e
         df = e.source()
         if e.time and self.span:
             raw, first, last = e.time_column(), min(self.span), cal.add_periods(max(self.span), e.grain, 1)
             kind = "timestamp_ntz" if dict(df.dtypes)[e.names[folded(e.time["column"])]] == "timestamp_ntz" else "date"
             df = df.filter((raw >= F.lit(first.isoformat()).cast(kind)) & (raw < F.lit(last.isoformat()).cast(kind)))
-        ignored = {*self.spec.get("ignore_filters", []), *self.spec.get("reset_filters", [])}
-        for code, column, op, value in e._filter_columns():
-            if code not in ignored:
-                df = df.filter(filters.predicate(column, op, value))
+        ignored = self.ignored()
+        skipped = {folded(c) for b in self.used for c in e.bases[b].get("skip_filters", [])}
+        masks = []
+        for f in e.bound_filters():
+            if f["stage"] == "result" or f["names"] & ignored:
+                continue
+            test = filters.predicate(e.physical(f["column"]), f["op"], f["operand"])
+            if f["names"] & skipped:
+                masks.append((f["names"], F.coalesce(test, F.lit(False))))  # some measures read all rows
+            else:
+                df = df.filter(test)
         for name in e._ordered_bases(self.used | {x for b in self.used for x in [e.bases[b].get("weight_column")] if x in e.bases}):
-            df = df.withColumn(f"b__{name}", e._base_value(name))
+            value = e._base_value(name)
+            for names, test in masks:
+                if not names & {folded(c) for c in e.bases[name].get("skip_filters", [])}:
+                    value = F.when(test, value)
+            df = df.withColumn(f"b__{name}", value)
         bases = [b for b in self.used]
         seen = functools.reduce(operator.or_, [F.col(f"`b__{b}`").isNotNull() for b in bases], F.lit(False)) if bases else F.lit(True)
-        columns = [e.dimension(d).alias(d) for d in self.dims]
+        columns = [(e.dimension(d) if not e.lenient or e.has_dimension(d) else F.lit(None).cast("string")).alias(d) for d in dict.fromkeys([*self.dims, *self.row_dims])]
         columns += [F.col(f"`b__{b}`") for b in bases]
         columns += [e.base_column(e.bases[b]["weight_column"]).alias(f"w__{b}") for b in bases if e.bases[b].get("weight_column")]
         columns += [e.physical(c[1]).alias(f"e__{c[1]}") for c in {c[1]: c for c in getattr(self, "cohorts", {}).values()}.values()]
         columns += [(e.bucket() if e.time else F.lit(None).cast("date")).alias("_p"), (e.time_column() if e.time else F.lit(None).cast("date")).alias("_t"), F.when(seen, 1).alias("_observed")]
         return df.select(*columns)
 
+    #: Aggregations that one fold by dimensions and period serves for leaves and series.
+    FOLDED = ("sum", "count", "min", "max", "avg")
+
+    def _folded_leaf(self, name: str) -> Column:
+        """A leaf from values by dimensions and period."""
+        base, test, window = self.folded[name]
+        b = self.e.bases[base]
+        held = lambda c: F.col(c) if test is None else F.when(test, F.col(c))
+        if b["agg"] == "avg":
+            return F.try_divide(F.sum(held(f"`f__{base}`")), F.sum(held(f"`n__{base}`")))
+        value = {"min": F.min, "max": F.max}.get(b["agg"], F.sum)(held(f"`f__{base}`"))
+        if b["agg"] not in aggregates.ZERO_WHEN_EMPTY:
+            return value
+        value = value.cast("double") if b["agg"] == "count" else value
+        if b["agg"] == "count":
+            value = F.coalesce(value, F.lit(0.0))
+        if window:
+            return F.coalesce(value, F.lit(0.0))
+        seen = F.max(held("_seen"))
+        return F.when(seen.isNotNull(), value if b.get("where") else F.coalesce(value, F.lit(0.0)))
+
     def grouped(self) -> DataFrame:
         facts = self.facts()
         dims = [F.col(f"`{d}`") for d in self.dims]
-        out = facts.groupBy(*dims).agg(*[c.alias(n) for n, c in self.leaves.items()], F.lit(1).alias("_one"))
+        bases = {b for b, _, _, w in self.series_of.values() for b in (b, w) if b}
+        collected = []
+        for name, (base, start, end, weight) in self.series_of.items():
+            inside = F.col("_p").between(F.lit(start), F.lit(end))
+            fields = [F.col("_p").alias("p"), F.col(f"v__{base}").alias("v")] + ([F.col(f"v__{weight}").alias("w")] if weight else [])
+            collected.append(F.sort_array(F.collect_list(F.when(inside & F.col(f"v__{base}").isNotNull(), F.struct(*fields)))).alias(name))  # one entry a period
         parts = []
-        if self.series_of:
-            bases = {b for b, _, _, w in self.series_of.values() for b in (b, w) if b}
-            per = facts.filter(F.col("_p").isNotNull()).groupBy(*dims, "_p").agg(*[self._aggregate(b, None).alias(f"v__{b}") for b in bases], F.max("_observed").alias("_seen"))
-            collected = []
-            for name, (base, start, end, weight) in self.series_of.items():
-                inside = F.col("_p").between(F.lit(start), F.lit(end))
-                fields = [F.col("_p").alias("p"), F.col(f"v__{base}").alias("v")] + ([F.col(f"v__{weight}").alias("w")] if weight else [])
-                collected.append(F.sort_array(F.collect_list(F.when(inside & F.col(f"v__{base}").isNotNull(), F.struct(*fields)))).alias(name))  # one entry a period
-            parts.append(per.groupBy(*dims).agg(*collected))
+        if self.series_of and not self.e.related and set(self.folded) == set(self.leaves):
+            # one scan: fold by dimensions and period, then leaves and series from the folds
+            read = bases | {b for b, _, _ in self.folded.values()}
+            by = [self._aggregate(b, None).alias(f"v__{b}") for b in bases]
+            for b in read:
+                agg, v = self.e.bases[b].get("agg"), F.col(f"`b__{b}`")
+                if agg in self.FOLDED:
+                    by.append((F.sum(v.try_cast("double")) if agg == "avg" else aggregates.aggregate(agg, v)).alias(f"f__{b}"))
+                    by += [F.count(v.try_cast("double")).alias(f"n__{b}")] if agg == "avg" else []
+            per = facts.groupBy(*dims, "_p").agg(*by, F.max("_observed").alias("_seen"))
+            out = per.groupBy(*dims).agg(*[self._folded_leaf(n).alias(n) for n in self.leaves], *collected, F.lit(1).alias("_one"))
+        else:
+            out = facts.groupBy(*dims).agg(*[c.alias(n) for n, c in self.leaves.items()], F.lit(1).alias("_one"))
+            if self.series_of:
+                per = facts.filter(F.col("_p").isNotNull()).groupBy(*dims, "_p").agg(*[self._aggregate(b, None).alias(f"v__{b}") for b in bases], F.max("_observed").alias("_seen"))
+                parts.append(per.groupBy(*dims).agg(*collected))
         for key, (name, column, entry, anchor) in getattr(self, "cohorts", {}).items():
             entity = facts.filter(F.col(f"`e__{column}`").isNotNull()).groupBy(*dims, F.col(f"`e__{column}`").alias("_entity")).agg(F.min("_p").alias("_first"), F.max(F.when(F.col("_p") == F.lit(anchor), 1)).alias("_there"))
             member = F.col("_first") == F.lit(entry) if name == "cohort_retention" else F.col("_first") <= F.lit(entry)
@@ -633,10 +866,14 @@ class CutPlan:
     def result(self) -> DataFrame:
         e = self.e
         wanted = [k for k in e.requested if k in e.specs and self._on_this_cut(k)]
-        having = e.kpi.get("having")
+        having = e.kpi.get("having") if self.survivors is None else None
         for key in [*wanted, *({p["of"] for p in having["predicates"]} if having else ())]:
             if key in e.specs:
                 self.build(key)
+        own_having = {k: e.specs[k]["having"] for k in wanted if e.specs[k].get("having")}
+        for rule in own_having.values():
+            for n in [p[f] for p in rule["predicates"] for f in ("of", "vs") if isinstance(p.get(f), str)]:
+                self._hold(n)
         tests = [self._predicate(p, ()) for p in having["predicates"]] if having else []
         if not self.leaves and not self.series_of and self.e.bases:
             self.used.add(next(b for b, s in e.bases.items() if "agg" in s))
@@ -645,24 +882,75 @@ class CutPlan:
             df = self._at_anchor(df)
         df = df.select(*[F.col(f"`{d}`") for d in self.dims], *self._raw(df), *[c.alias(f"m__{k}") for k, c in self.pending.items()])
         if tests:
-            df = df.filter(functools.reduce(operator.or_ if having.get("match") == "any" else operator.and_, tests))
+            met = functools.reduce(operator.or_ if having.get("match") == "any" else operator.and_, tests)
+            self.dropped = df.filter(~met)
+            df = df.filter(met)
+            if having.get("then_group_by") is not None:
+                return self._regrouped(df, having["then_group_by"])
         for key in wanted:
             if e.specs[key].get("from_cut", self.spec["name"]) != self.spec["name"]:
                 df = self._from_cut(df, key)
         for key in self.cut_phase:
             if self._versus(e.specs[key]):
                 df = df.crossJoin(F.broadcast(self._other(e.specs[key]["versus_cut"]).total(key)))  # one row
-            df = df.withColumn(f"m__{key}", self._cut_value(key, e.specs[key]))
-        for key in wanted:
-            if e.specs[key].get("having"):
-                met = [self._having(p) for p in e.specs[key]["having"]["predicates"]]
-                df = df.withColumn(f"m__{key}", F.when(functools.reduce(operator.and_, met), F.col(f"`m__{key}`")))
+            df = self._with_cut_value(df, key, e.specs[key])
+        for key, rule in own_having.items():
+            met = [self._met(p, self._held) for p in rule["predicates"]]
+            df = df.withColumn(f"m__{key}", F.when(functools.reduce(operator.or_ if rule.get("match") == "any" else operator.and_, met), F.col(f"`m__{key}`")))
         columns = [F.lit(self.spec["name"]).alias("output_cut"), *[F.col(f"`{d}`") for d in self.dims], *[F.col(f"`m__{k}`").alias(k) for k in wanted if k not in self.dims]]
+        if rule := e.kpi.get("green_when"):
+            v = F.col(f"`m__{rule['of']}`").try_cast("double") if rule["of"] in wanted else F.lit(None).cast("double")
+            columns.append((v >= F.lit(float(rule["above"])) if "above" in rule else v <= F.lit(float(rule["below"]))).alias("green"))
         df = df.select(*columns)
+        for f in e.bound_filters():
+            if f["stage"] == "result" and (column := next((d for d in self.dims if folded(d) in f["names"]), None)):
+                df = df.filter(filters.predicate(F.col(f"`{column}`"), f["op"], f["operand"]))
         if e.kpi.get("omit_null_rows"):
             df = df.dropna("all", subset=[k for k in wanted if k not in self.dims])
         return df
 
+    def _regrouped(self, kept: DataFrame, target: list[str]) -> DataFrame:
+        """The measures of the surviving groups' rows by coarser dimensions."""
+        if missing := [d for d in target if d not in self.dims]:
+            raise BindError(f"having.then_group_by {missing} is not on cut {self.spec['name']!r}")
+        plan = CutPlan(self.e, self.spec)
+        # the rows carry the cut's dimensions until the survivors are chosen
+        plan.survivors = kept.select(*[F.col(f"`{d}`").alias(f"k__{d}") for d in self.dims])
+        plan.row_dims, plan.dims = self.dims, list(target)
+        out = plan.result()
+        return out.select(*out.columns, *[F.lit(None).cast(kept.schema[d].dataType).alias(d) for d in self.dims if d not in target])
+
+    def _hold(self, name: str) -> None:
+        """Makes a measure or base available after the groups' columns are built."""
+        if name in self.e.specs:
+            self.build(name)
+        elif f"@{name}" not in self.done:
+            self.pending[f"@{name}"] = self.value(name)
+            self.done.append(f"@{name}")
+
+    def _held(self, name: str) -> Column:
+        return F.col(f"`m__{name}`") if name in self.e.specs else F.col(f"`m__@{name}`")
+
+    def _with_cut_value(self, df: DataFrame, key: str, spec: dict) -> DataFrame:
+        """``df`` with a cut operator's value.  Sums and the like over the whole
+        cut are one row, broadcast, so that the groups stay where they are."""
+        stats = STATS.get(spec["op"])
+        value = self._cut_source(key, spec) if stats else None
+        if not stats or self._partition(spec) or (spec["op"] in ("percent_of_total", "contribution") and self._versus(spec)):
+            return df.withColumn(f"m__{key}", self._cut_value(key, spec))
+        whole = df.agg(*[build(value).alias(f"t__{key}_{n}") for n, build in stats.items()])
+        df = df.crossJoin(F.broadcast(whole))  # one row
+        cut = Cut(value, [], [], {**spec, "order_by": [], "stats": {n: F.col(f"`t__{key}_{n}`") for n in stats}})
+        return df.withColumn(f"m__{key}", CUT_OPS[spec["op"]](cut)).drop(*[f"t__{key}_{n}" for n in stats])
+
+    def _partition(self, spec: dict) -> list[Column]:
+        part = [F.col(f"`{d}`") for d in spec.get("partition_by", []) if d in self.dims]
+        return part if len(part) < len(self.dims) else []
+
+    def _cut_source(self, key: str, spec: dict) -> Column:
+        v = F.col(f"`m__@{key}`") if spec["op"] == "rank_pct_change" else self._held(spec["of"])
+        return v - self._held(spec["vs"]) if spec["op"] == "contribution" else v
+
     @staticmethod
     def _versus(spec: dict) -> bool:
         """Other cut operators accept versus_cut without effect."""
@@ -710,28 +998,22 @@ class CutPlan:
         return cuts is None or self.spec["name"] in cuts
 
     def _at_anchor(self, df: DataFrame) -> DataFrame:
+        if not self.dims:
+            seen = self.facts().filter((F.col("_p") == F.lit(self.anchor(()))) & (F.col("_observed") == 1)).limit(1).select(F.lit(1).alias("_there"))
+            return df.join(F.broadcast(seen), F.lit(True), "left_semi")  # one group
         there = self.facts().filter((F.col("_p") == F.lit(self.anchor(()))) & (F.col("_observed") == 1)).select(*[F.col(f"`{d}`").alias(f"k__{d}") for d in self.dims]).distinct()
         return df.join(there, functools.reduce(operator.and_, [F.col(f"`{d}`").eqNullSafe(F.col(f"`k__{d}`")) for d in self.dims]), "left_semi")
 
-    def _having(self, p: dict) -> Column:
-        v = F.col(f"`m__{p['of']}`")
-        return F.coalesce(COMPARISONS[p["cmp"]](v, F.lit(float(p["value"]))), F.lit(False))
-
     def _cut_value(self, key: str, spec: dict) -> Column:
-        held = lambda n: F.col(f"`m__{n}`") if n in self.e.specs else F.col(f"`m__@{n}`")
+        held = self._held
         if spec["op"] not in CUT_OPS:
             return self._derived(spec, held)
-        v = F.col(f"`m__@{key}`") if spec["op"] == "rank_pct_change" else held(spec["of"])
-        if spec["op"] == "contribution":
-            v = v - held(spec["vs"])
-        part = [F.col(f"`{d}`") for d in spec.get("partition_by", []) if d in self.dims]
-        part = part if len(part) < len(self.dims) else []
         ties = [F.col(f"`{d}`").asc_nulls_last() for d in self.dims]
         extra = dict(spec)
         if self._versus(spec):
             extra["total"] = F.col(f"`t__{key}`")
         extra["order_by"] = [held(o["key"] if isinstance(o, dict) else o).desc_nulls_last() for o in spec.get("order_by", [])]
-        return CUT_OPS[spec["op"]](Cut(v, part, ties, extra))
+        return CUT_OPS[spec["op"]](Cut(self._cut_source(key, spec), self._partition(spec), ties, extra))
 
     def _derived(self, spec: dict, held) -> Column:
         if spec["op"] == "expr":

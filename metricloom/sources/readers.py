@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,12 +42,13 @@ def paths(model: dict, datasets: dict) -> dict[str, tuple[str, str]]:
 
 def load(spark: SparkSession, model: dict, datasets: dict) -> DataFrame:
     """The model's rows: joined scans, or a SQL text whose $alias_scan,
-    $alias_path and read_parquet($alias_path) become views."""
+    $alias_path and read_parquet($alias_path) become views.  The text is Spark
+    SQL: functions of other dialects are not translated."""
     found = paths(model, datasets)
     if model.get("kind", "physical") == "sql":
-        text = model["sql"]
+        text, own = model["sql"], uuid.uuid4().hex[:12]  # requests of one session don't share views
         for alias, (path, kind) in found.items():
-            view = f"metricloom_{alias}"
+            view = f"metricloom_{alias}_{own}"
             scan(spark, path, kind).createOrReplaceTempView(view)
             text = re.sub(rf"(?:read_parquet|delta_scan)\(\s*\${alias}_path\s*\)|\${alias}_scan\b|\${alias}_path\b", view, text)
         return spark.sql(text)
