@@ -334,3 +334,14 @@ def compute(context: dict, *, spark: SparkSession | None = None, config_dir: str
         except OSError as e:
             notes.append({"code": "result_log_failed", "detail": str(e)})
     return result
+
+
+def impact(name: str, kpi: dict) -> list[str]:
+    """The measures that read a measure or base, directly or through others."""
+    whole = Engine(None, kpi, {}, {}, [])
+    plan = relations.CutPlan(whole, next(iter(whole.cuts.values())))
+    direct = {k: set(plan.inputs(s)) for k, s in whole.specs.items()}
+    found: set[str] = set()
+    while more := {k for k, reads in direct.items() if k not in found and (name in reads or reads & found)}:
+        found |= more
+    return sorted(found)

@@ -235,10 +235,11 @@ class Engine:
     def time_column(self) -> Column:
         c = self.physical(self.time["column"])
         fmt = self.time.get("format")
-        if fmt:
-            pattern = {"yyyymm": "yyyyMM", "yyyymmdd": "yyyyMMdd", "mmyyyy": "MMyyyy", "dd/mm/yyyy": "dd/MM/yyyy"}.get(fmt, fmt)
+        kind = dict(self.source().dtypes)[self.names[folded(self.time["column"])]]
+        if fmt and not kind.startswith(("date", "timestamp")):
+            pattern = fmt.lower().replace("m", "M")
             return F.to_date(F.lpad(c.cast("string"), len(pattern), "0"), pattern)
-        return c if dict(self.source().dtypes)[self.names[folded(self.time["column"])]] != "string" else F.to_date(c)
+        return F.to_date(c) if kind == "string" else c
 
     # -- facts ----------------------------------------------------------
 
@@ -377,6 +378,14 @@ class Engine:
         self._bound = out
         return out
 
+    def masked(self, base: str) -> bool:
+        """Whether a base reads some rows only: by its own mask, or because
+        another measure ignores a filter that it doesn't."""
+        b = self.bases[base]
+        own = {folded(c) for c in b.get("skip_filters", [])}
+        others = {folded(c) for x in self.bases.values() for c in x.get("skip_filters", [])} - own
+        return bool(b.get("where")) or bool(others) and any(f["stage"] != "result" and f["names"] & others for f in self.bound_filters())
+
     def blank_filters(self) -> list[str]:
         have = {f["filter_code"] for f in self.bound_filters()}
         return [c for c, v in self._given().items() if c not in have and not [x for x in v if x is not None]]
@@ -492,7 +501,7 @@ class CutPlan:
             value = F.coalesce(value, F.lit(0.0)) if zero else value
         elif zero:
             seen = F.max(F.col("_observed") if test is None else F.when(test, F.col("_observed")))
-            value = F.when(seen.isNotNull(), value if b.get("where") else F.coalesce(value, F.lit(0.0)))
+            value = F.when(seen.isNotNull(), value if self.e.masked(base) else F.coalesce(value, F.lit(0.0)))
         self.leaves[name] = value
         return F.col(name)
 
@@ -825,7 +834,7 @@ class CutPlan:
         if window:
             return F.coalesce(value, F.lit(0.0))
         seen = F.max(held("_seen"))
-        return F.when(seen.isNotNull(), value if b.get("where") else F.coalesce(value, F.lit(0.0)))
+        return F.when(seen.isNotNull(), value if self.e.masked(base) else F.coalesce(value, F.lit(0.0)))
 
     def grouped(self) -> DataFrame:
         facts = self.facts()
