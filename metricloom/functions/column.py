@@ -157,7 +157,8 @@ COLUMN_FUNCTIONS = {
     "right": right,
     "replace": replace,
     "concat": lambda *c: F.concat_ws("", *[x.cast("string") for x in c]),
-    "hash_bucket": lambda c, n=10: F.pmod(F.xxhash64(c.cast("string")), F.lit(_int(n))).cast("double") * F.when(c.isNotNull(), 1.0),
+    # the first 32 bits of the text's MD5, which any SQL engine can repeat
+    "hash_bucket": lambda c, n=10: F.pmod(F.conv(F.substring(F.md5(c.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(max(_int(n), 1))).cast("double"),
     "json_extract": lambda c, path: F.get_json_object(c.cast("string"), path if path.startswith("$") else f"$.{path}"),
     "coalesce_date": lambda *c: F.coalesce(*map(stamp, c)),
     "is_between_dates": between_dates,

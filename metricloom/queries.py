@@ -296,13 +296,15 @@ FILTER_SQL = {
 
 
 def _filter(column: str, op: str, value) -> Query:
-    return lambda s, d: s.read.parquet(f"{d}/orders.parquet").filter(predicate(F.col(column), op, value)).select("o_orderkey", "o_orderstatus", "o_totalprice")
+    # pending orders have no status, so that some are null
+    return lambda s, d: s.read.parquet(f"{d}/orders.parquet").withColumn("o_orderstatus", F.expr("nullif(o_orderstatus, 'P')")).filter(predicate(F.col(column), op, value)).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
+_ORDERS = "(SELECT * REPLACE (nullif(o_orderstatus, 'P') AS o_orderstatus) FROM orders)"
 for _op, (_column, _value, _sql) in FILTER_SQL.items():
-    add(f"filter_{_op}", _filter(_column, _op, _value), f"SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE {_column} {_sql}")
-add("filter_regexp", _filter("o_orderpriority", "regexp", "^[12]-"), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE regexp_matches(o_orderpriority, '^[12]-')")
-add("filter_regexp_insensitive", _filter("o_orderpriority", "regexp_insensitive", "high$"), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE regexp_matches(o_orderpriority, 'high$', 'i')")
+    add(f"filter_{_op}", _filter(_column, _op, _value), f"SELECT o_orderkey, o_orderstatus, o_totalprice FROM {_ORDERS} WHERE {_column} {_sql}")
+add("filter_regexp", _filter("o_orderpriority", "regexp", "^[12]-"), f"SELECT o_orderkey, o_orderstatus, o_totalprice FROM {_ORDERS} WHERE regexp_matches(o_orderpriority, '^[12]-')")
+add("filter_regexp_insensitive", _filter("o_orderpriority", "regexp_insensitive", "high$"), f"SELECT o_orderkey, o_orderstatus, o_totalprice FROM {_ORDERS} WHERE regexp_matches(o_orderpriority, 'high$', 'i')")
 
 
 def _masked(where) -> Query:
@@ -416,7 +418,7 @@ def _functions(prefix: str, table: dict, found: dict) -> None:
 
 _functions("fn", COLUMN_SQL, COLUMN_FUNCTIONS)
 add("fn_json_extract", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", COLUMN_FUNCTIONS["json_extract"](F.col("props"), "k").cast("double").alias("value")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value FROM events")
-QUERIES["fn_hash_bucket"] = lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", COLUMN_FUNCTIONS["hash_bucket"](F.col("o_custkey"), 16).alias("value"))
+add("fn_hash_bucket", lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", COLUMN_FUNCTIONS["hash_bucket"](F.col("o_custkey"), 16).alias("value")), "SELECT o_orderkey, CAST(CAST('0x' || substr(md5(CAST(o_custkey AS VARCHAR)), 1, 8) AS UBIGINT) % 16 AS DOUBLE) AS value FROM orders")
 
 MEASURE_SQL: dict[str, tuple] = {
     "growth_pct": ((Q, D), {}, "(l_quantity - l_discount) / nullif(l_discount, 0)"), "divide": ((Q, D), {}, "l_quantity / nullif(l_discount, 0)"), "percent": ((D, Q), {}, "l_discount / l_quantity * 100"), "sum": ((Q, D, NZ), {}, f"l_quantity + l_discount + {NZ_SQL}"),
@@ -462,3 +464,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("flagship", flagship, f"{MONTHLY} SELECT g AS l_returnflag, {NOW} AS cur, {YEAR} AS old, {W('1998-04', '1998-06')} AS three, round(({NOW} - {YEAR}) / {YEAR}, 6) AS yoy, round({NOW} * 100 / sum({NOW}) OVER (), 6) AS share FROM m GROUP BY g")
+
+
+def _load_requests() -> None:
+    from . import request_queries
+
+    QUERIES.update(request_queries.QUERIES)
+    ORACLE.update(request_queries.ORACLE)
+
+
+_load_requests()

@@ -4,11 +4,11 @@ import os
 
 import pytest
 
-from metricloom import queries
+from metricloom import queries, request_queries
 
 duckdb = pytest.importorskip("duckdb")
 DATA = "/root/testdata/sf0.001"
-NAMES = [n for n in ("flagship", "op_point", "op_window", "op_lead", "op_trend", "op_weighted_window", "op_filtered_compare", "range_full_year", "cut_rank", "cut_abc_class", "hook_slope", "hook_streak", "hook_cohort_retention", "agg_percentile", "agg_mode", "agg_list_agg", "filter_ilike", "filter_mask", "cuts_ignore_filters", "over_last_n", "fn_date_diff", "fn_json_extract", "mfn_weighted_avg_scalars", "source_physical_join", "source_sql_model")]
+NAMES = [n for n in ("flagship", "op_point", "op_window", "op_lead", "op_trend", "op_weighted_window", "op_filtered_compare", "range_full_year", "cut_rank", "cut_abc_class", "hook_slope", "hook_streak", "hook_cohort_retention", "agg_percentile", "agg_mode", "agg_list_agg", "filter_ilike", "filter_mask", "cuts_ignore_filters", "over_last_n", "fn_date_diff", "fn_json_extract", "mfn_weighted_avg_scalars", "source_physical_join", "source_sql_model", "filter_is_null", "fn_hash_bucket", "cut_zscore", "cut_normalize", "cut_contribution", *request_queries.QUERIES)]
 
 
 def close(a, b):
