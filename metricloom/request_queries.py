@@ -5,8 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from .api import compute_df
 
@@ -22,7 +21,7 @@ JUNE = "l_shipdate >= DATE '1998-06-01' AND l_shipdate < DATE '1998-07-01'"
 FLAG, STATUS = {"name": "l_returnflag"}, {"name": "l_linestatus"}
 
 
-def asked(columns: list[str | Column], measures: dict | None = None, given: dict | None = None, month="1998-06", models=TABLE, tables=("lineitem",), keys: list[str] | None = None, parameters: dict | None = None, selected=None, **kpi) -> Query:
+def asked(columns: list[str], measures: dict | None = None, given: dict | None = None, month="1998-06", models=TABLE, tables=("lineitem",), keys: list[str] | None = None, parameters: dict | None = None, selected=None, **kpi) -> Query:
     """A request over lineitem, June 1998 by return flag unless told otherwise."""
     measures = measures or NOW
     spec = {"kpi_id": 1, "time": MONTH, "dimensions": [FLAG], "base_measures": SUM, "measures": measures} | kpi
@@ -39,7 +38,7 @@ def asked(columns: list[str | Column], measures: dict | None = None, given: dict
             context["parameters"] = parameters
         if selected is not None:
             context["selected_dimensions"] = selected
-        return compute_df(context, spark=spark, kpi=spec, model=models).select(*columns)
+        return compute_df(context, spark=spark, kpi=spec, model=models).selectExpr(*columns)
 
     return run
 
@@ -48,8 +47,8 @@ def add(name: str, query: Query, sql: str) -> None:
     QUERIES[name], ORACLE[name] = query, sql
 
 
-def rounded(name: str = "value", digits: int = 4) -> Column:
-    return F.round(F.col(name).cast("double"), digits).alias(name)
+def rounded(name: str = "value", digits: int = 4) -> str:
+    return f"round(cast({name} as double), {digits}) as {name}"
 
 
 BY_FLAG = ["l_returnflag", rounded()]
@@ -210,7 +209,7 @@ add(
     f"SELECT l_returnflag, sum(CASE WHEN k = 1 THEN l_quantity ELSE 0 END) AS value FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k FROM lineitem WHERE {JUNE}) GROUP BY 1",
 )
 add("dimension_map", asked(["kind", rounded()], dimensions=[{"name": "kind", "from": "l_returnflag", "map": {"A": "accepted", "R": "returned"}, "default": "other"}]), f"SELECT CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'returned' ELSE 'other' END AS kind, sum(l_quantity) AS value FROM lineitem WHERE {JUNE} GROUP BY 1")
-add("dimension_grain", asked([F.date_format("week", "yyyy-MM-dd").alias("week"), rounded()], dimensions=[{"name": "week", "from": "l_shipdate", "grain": "week"}]), f"SELECT strftime(date_trunc('week', l_shipdate), '%Y-%m-%d') AS week, sum(l_quantity) AS value FROM lineitem WHERE {JUNE} GROUP BY 1")
+add("dimension_grain", asked(["date_format(week, 'yyyy-MM-dd') as week", rounded()], dimensions=[{"name": "week", "from": "l_shipdate", "grain": "week"}]), f"SELECT strftime(date_trunc('week', l_shipdate), '%Y-%m-%d') AS week, sum(l_quantity) AS value FROM lineitem WHERE {JUNE} GROUP BY 1")
 
 # -- time -------------------------------------------------------------------
 
