@@ -72,6 +72,10 @@ def _doubled(h: Column, step: int) -> Column:
     return F.zip_with(F.slice(h, 1, n), F.slice(h, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))
 
 
+def _longer(h: Column, step: int) -> Column:
+    return _bound(h, lambda x: _doubled(x, step))
+
+
 def template_windows(words_: Column) -> Column:
     """Hashes of the WINDOW-word templates by position."""
 
@@ -79,44 +83,18 @@ def template_windows(words_: Column) -> Column:
         return F.when(F.contains(w, F.lit(NUMBER)), F.lit(2).cast("long")).when(w.startswith(NAME), F.lit(1).cast("long")).when(w.startswith(UNIT), F.lit(3).cast("long")).otherwise(F.xxhash64(w))
 
     one = F.transform(words_, name)
-    two = _bound(one, lambda h: _doubled(h, 1))
-    four = _bound(two, lambda h: _doubled(h, 2))
-    return _bound(four, lambda h: _doubled(h, 4))
+    return _longer(_longer(_longer(one, 1), 2), 4)
 
 
 def literal_windows(words_: Column, width: int = WINDOW) -> Column:
-    """Hashes of the runs of ``width`` literal words by position."""
-
-    def longer(h: Column, most: int) -> Column:
-        """Runs of ``most`` words from those of one."""
-        if most == 1:
-            return h
-        half = most // 2
-        n = F.greatest(F.size(h) - (most - 1), F.lit(0))
-        return _bound(longer(h, half), lambda a: _bound(longer(h, most - half), lambda b: F.zip_with(F.slice(a, 1, n), F.slice(b, F.lit(half + 1), n), lambda x, y: F.xxhash64(x, y))))
-
-    marks = NAME + NUMBER + UNIT
-    one = F.transform(words_, lambda w: F.xxhash64(F.translate(w, marks, "")))
-    return _bound(one, lambda h: longer(h, width))
-
-
-def literal_hits(documents: DataFrame, items: DataFrame) -> DataFrame | None:
-    """(doc_id, item_id, n_words) for documents that hold an item word for word:
-    LEAST aligned windows (all, if it has fewer) of an item that has a window
-    with fewer than FIRM literal words, all the words of one under WINDOW words."""
-    heavy = F.exists(F.transform("windows", lambda w, i: _literals(i) < FIRM), lambda x: x)
-    widths = {WINDOW: items.filter(heavy)} | {k: items.filter(F.size("item_words") == k) for k in range(SHORTEST, WINDOW)}
-    out = None
-    for width, those in widths.items():
-        seeds = written(those.select("item_id", F.posexplode(literal_windows(F.col("item_words"), width)).alias("item_at", "name")), "literal")
-        if seeds.isEmpty():
-            continue
-        needs = written(seeds.groupBy("item_id").agg(F.least(F.lit(LEAST), F.count("*")).alias("need")), "needs")
-        found = documents.filter("doc_id is not null").select("doc_id", F.posexplode(literal_windows(words(F.col("text")), width)).alias("at", "name"))
-        met = found.join(small(seeds, 40), "name").groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.countDistinct("item_at").alias("n"))
-        hits = met.join(small(needs, 24), "item_id").filter("n >= need").groupBy("doc_id", "item_id").agg(F.max("n").alias("n"))
-        hits = hits.select("doc_id", "item_id", (F.col("n") + width - 1).alias("n_words"))
-        out = hits if out is None else out.unionByName(hits)
+    """Hashes of the runs of ``width`` literal words, in any case, by position."""
+    # named apart from templates, so that both kinds meet their own in one join
+    out = F.transform(words_, lambda w: F.xxhash64(F.ltrim(w, F.lit(NAME)), F.lit(width)))
+    held = 1
+    while held < width:  # runs of twice the words, the last two overlapping
+        step = min(held, width - held)
+        out = _longer(out, step)
+        held += step
     return out
 
 
@@ -134,16 +112,32 @@ def flagged(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = given.select("item_id", F.explode(readings).alias("item_words")).distinct()
     items = written(items.select(F.xxhash64("item_id", "item_words").alias("reading"), "item_id", "item_words", template_windows(F.col("item_words")).alias("windows")), "items")
     at = items.select("reading", "item_words", F.posexplode("windows").alias("item_at", "name")).withColumn("literals", _literals(F.col("item_at")))
-    seeds = written(at.filter(F.col("literals") >= LITERALS).select("reading", "item_at", "name", "literals").distinct(), "seeds")
-    needs = written(seeds.groupBy("reading").agg(F.least(F.lit(LEAST), F.count("*")).alias("need"), F.least(F.lit(EVIDENCE), F.sum("literals")).alias("evidence")), "needs")
-
-    windows = template_windows(words(F.col("text")))
-    found = documents.filter("doc_id is not null").select("doc_id", F.posexplode(windows).alias("at", "name"))
-    met = found.join(small(seeds, 40), "name")
-    shift = (F.col("at") - F.col("item_at")).alias("shift")
-    aligned = met.groupBy("doc_id", "reading", shift, "item_at").agg(F.first("literals").alias("literals"))
-    aligned = aligned.groupBy("doc_id", "reading", "shift").agg(F.count("*").alias("n"), F.sum("literals").alias("sum"), F.min("item_at").alias("low"), F.max("item_at").alias("high"))
-    likely = written(aligned.join(small(needs, 32), "reading").filter("n >= need and sum >= evidence").drop("need", "evidence", "sum"), "likely")
+    kinds = at.filter(F.col("literals") >= LITERALS).select(F.lit(0).alias("kind"), F.col("reading").alias("key"), "item_at", "name", "literals").distinct()
+    # word for word: items with a window of few literal words, and short items whole
+    few = F.exists(F.transform("windows", lambda w, i: _literals(i) < FIRM), lambda x: x)
+    verbatim = {WINDOW: items.filter(few)} | {k: items.filter(F.size("item_words") == k) for k in range(SHORTEST, WINDOW)}
+    for width, those in verbatim.items():
+        found = those.select(F.lit(width).alias("kind"), F.col("item_id").alias("key"), F.posexplode(literal_windows(F.col("item_words"), width)).alias("item_at", "name"), F.lit(width).alias("literals"))
+        kinds = kinds.unionByName(found.distinct())
+    seeds = written(kinds, "seeds")
+    needs = seeds.groupBy("kind", "key").agg(F.least(F.lit(LEAST), F.count("*")).alias("need"), F.least(F.lit(EVIDENCE), F.sum("literals")).alias("evidence"))
+    needs = written(needs, "needs")
+    widths = sorted(r[0] for r in seeds.select("kind").distinct().collect())  # of each kind one row: five at most
+
+    # all windows of a text in one array, kind after kind
+    texts = documents.filter("doc_id is not null").select("doc_id", words(F.col("text")).alias("w"))
+    arrays = [template_windows(F.col("w")) if k == 0 else literal_windows(F.col("w"), k) for k in widths] or [F.array().cast("array<bigint>")]
+    found = texts.select("doc_id", F.size("w").alias("n_words"), F.posexplode(F.concat(*arrays)).alias("at", "name"))
+    before, offset = F.lit(0), F.lit(0)
+    for k in widths:
+        offset = F.when(F.col("kind") == k, before).otherwise(offset)
+        before = before + F.greatest(F.col("n_words") - ((k or WINDOW) - 1), F.lit(0))
+    met = found.join(small(seeds, 40), "name").withColumn("shift", F.col("at") - offset - F.col("item_at"))
+    aligned = met.groupBy("doc_id", "kind", "key", "shift", "item_at").agg(F.first("literals").alias("literals"))
+    aligned = aligned.groupBy("doc_id", "kind", "key", "shift").agg(F.count("*").alias("n"), F.sum("literals").alias("sum"), F.min("item_at").alias("low"), F.max("item_at").alias("high"))
+    enough = written(aligned.join(small(needs, 40), ["kind", "key"]).filter("n >= need and sum >= evidence").drop("need", "evidence", "sum"), "likely")
+    likely = enough.filter("kind = 0").withColumnRenamed("key", "reading")
+    literal = enough.filter("kind > 0").select("doc_id", F.col("key").alias("item_id"), (F.col("n") + F.col("kind") - 1).alias("n_words"))
 
     ids = written(likely.select("doc_id").distinct(), "ids")
     texts = documents.join(small(ids, 16), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("doc_words"))
@@ -153,8 +147,7 @@ def flagged(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     filled = F.filter(both, lambda p: p["item"].isNotNull() & p["doc"].isNotNull() & (_mark(p["item"]) > 0) & (_mark(p["item"]) == _mark(p["doc"])))
     consistent = _bound(filled, lambda s: F.size(F.array_distinct(s)) == F.size(F.array_distinct(F.transform(s, lambda p: p["item"]))))
     agreed = pair.filter(consistent).select("doc_id", "item_id", (F.col("n") + WINDOW - 1).alias("n_words"))
-    if (literal := literal_hits(documents, items)) is not None:
-        agreed = agreed.unionByName(literal)
+    agreed = agreed.unionByName(literal)
     return agreed.groupBy("doc_id").agg(F.max_by("item_id", F.struct("n_words", -F.col("item_id"))).alias("item_id"), F.max("n_words").alias("n_matched"))
 
 
