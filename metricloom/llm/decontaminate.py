@@ -26,11 +26,9 @@ LEAST = 6
 #: Literal words that the aligned windows have together at least (a word counts
 #: in each): windows of many placeholders say less, so more of them are needed.
 EVIDENCE = 24
-#: Windows with fewer literal words than this say nothing as templates.
+#: Windows with fewer literal words than this say nothing as templates; items
+#: that have one are also looked for word for word.
 LITERALS = 2
-#: Items that have a window with fewer literal words than this are also looked
-#: for word for word.
-FIRM = 4
 #: Items of fewer words than WINDOW are found word for word, from this many
 #: words on: a shorter run is ordinary language.
 SHORTEST = 4
@@ -114,7 +112,7 @@ def flagged(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     at = items.select("reading", "item_words", F.posexplode("windows").alias("item_at", "name")).withColumn("literals", _literals(F.col("item_at")))
     kinds = at.filter(F.col("literals") >= LITERALS).select(F.lit(0).alias("kind"), F.col("reading").alias("key"), "item_at", "name", "literals").distinct()
     # word for word: items with a window of few literal words, and short items whole
-    few = F.exists(F.transform("windows", lambda w, i: _literals(i) < FIRM), lambda x: x)
+    few = F.exists(F.transform("windows", lambda w, i: _literals(i) < LITERALS), lambda x: x)
     verbatim = {WINDOW: items.filter(few)} | {k: items.filter(F.size("item_words") == k) for k in range(SHORTEST, WINDOW)}
     for width, those in verbatim.items():
         found = those.select(F.lit(width).alias("kind"), F.col("item_id").alias("key"), F.posexplode(literal_windows(F.col("item_words"), width)).alias("item_at", "name"), F.lit(width).alias("literals"))
@@ -157,7 +155,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     An item is found where LEAST of its template windows align with the document
     and have EVIDENCE literal words together (all its windows, if they have
-    less); word for word, where a window has fewer than FIRM literal words; and
+    less); word for word, where a window has fewer than LITERALS literal words; and
     with SHORTEST to WINDOW - 1 words where all of them follow one another.
     Items under SHORTEST words, null and empty texts on either side match
     nothing.  White space of any kind separates words.  Of several items the one
