@@ -10,15 +10,18 @@ beyond 1 are cut to 1 and the other cells of the margin are raked again.  A
 document is then kept with its cell's calibrated probability, decided by a hash
 of its id, so that a repeated run keeps the same ones.  Cells and margins are
 tables: each step is a grouped aggregation and a join, whatever the number of
-sources."""
+sources; as many cells as may be broadcast are raked in memory, with the same
+steps."""
 
 from __future__ import annotations
 
 import logging
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import discard, matched, written
 
 #: Target share of a margin's value: its share to this power, normalised.
@@ -30,19 +33,20 @@ KEPT = 0.75
 #: A margin's kept tokens that are off the target by more than this share of it
 #: are reported.
 OFF = 0.01
+#: Bytes of a cell with its names.
+CELL_BYTES = 120
 MARGINS = ("source", "lang", "topic")
 LOG = logging.getLogger(__name__)
 
 
 def topic(text: Column) -> Column:
-    """A coarse topic by the text's form: table (bars), code (braces and
-    semicolons), numeric (digits), list (short lines), dialogue (quotation
-    marks), brief (under 1,000 characters) or prose, the first that fits."""
+    """A coarse topic by the text's form: table (bars), list (short lines), code
+    (braces), dialogue (quotation marks), brief (under 1,000 characters) or
+    prose, the first that fits."""
     n = F.length(text)
-    count = lambda chars: n - F.length(F.translate(text, chars, ""))
-    bars, lines = n - F.length(F.replace(text, F.lit("|"), F.lit(""))), n - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    forms = F.when(100 * bars > n, "table").when(50 * count("{};") > n, "code").when(4 * count("0123456789") > n, "numeric")
-    return forms.when(80 * lines > n, "list").when(60 * count('"\u201c\u201d\u00ab\u00bb') > n, "dialogue").when(n < 1000, "brief").otherwise("prose")
+    count = lambda sign: n - F.length(F.replace(text, F.lit(sign), F.lit("")))
+    forms = F.when(100 * count("|") > n, "table").when(80 * count("\n") > n, "list").when(100 * count("{") > n, "code")
+    return forms.when(60 * count('"') > n, "dialogue").when(n < 1000, "brief").otherwise("prose")
 
 
 def targets(cells: DataFrame, powers: dict[str, float]) -> DataFrame:
@@ -128,6 +132,42 @@ def rates(cells: DataFrame, goal: DataFrame, kept: float, rounds: int = ROUNDS,
     return cells
 
 
+def solved(cells: list[tuple], wanted: dict[str, dict[str, float]], kept: float, rounds: int, tolerance: float = TOLERANCE) -> tuple[np.ndarray, list[tuple]]:
+    """What ``goals`` and ``rates`` give, in memory: (probabilities of the cells
+    (source, lang, topic, tokens), rows of margin, value, tokens, target, goal)."""
+    tokens = np.array([c[3] for c in cells], float)
+    codes, goal, rows = [], [], []
+    for i, margin in enumerate(MARGINS):
+        values, code = np.unique(np.array([c[i] for c in cells], object), return_inverse=True)
+        have = np.bincount(code, tokens, len(values))
+        target = np.array([wanted.get(margin, {}).get(v, 0.0) for v in values.tolist()])
+        level = 0.0
+        while True:
+            free = have > level * target
+            share = target[free].sum()
+            new = max(level, (kept * have.sum() - have[~free].sum()) / share) if share > 0 else level
+            if new <= level * (1 + 1e-12):
+                break
+            level = new
+        codes.append(code)
+        goal.append(np.minimum(have, level * target))
+        rows += [(margin, v, int(h), float(t), float(g)) for v, h, t, g in zip(values.tolist(), have, target, goal[-1], strict=True)]
+    p, moved = np.full(len(cells), float(kept)), 0.0
+    for _ in range(rounds):
+        before = p
+        for code, g in zip(codes, goal, strict=True):
+            full = p >= 1
+            have, whole = np.bincount(code, p * tokens, len(g)), np.bincount(code, np.where(full, tokens, 0), len(g))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                factor = np.where(g <= have, g / have, np.where(have > whole, (g - whole) / (have - whole), 1.0))
+            p = np.minimum(1.0, p * np.where(have > 0, factor, 0.0)[code])
+        moved = np.abs(p - before).max(initial=0.0)
+        if moved < tolerance:
+            return p, rows
+    LOG.warning("raking has not settled after %d rounds: probabilities still move by %.3g", rounds, moved)
+    return p, rows
+
+
 def unmet(cells: DataFrame, goal: DataFrame, kept: float, off: float = OFF) -> DataFrame:
     """(margin, value, tokens, target, share) of the margins' values whose share
     of the expected tokens is off the target by more than ``off`` of it."""
@@ -161,16 +201,28 @@ def mix(documents: DataFrame, powers: dict[str, float] | None = None, wanted: Da
     cell = [F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("topic")]
     sizes = written(rows.groupBy(*cell).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "cells")
     cells = sizes.filter("tokens > 0").drop("docs")
-    goal = wanted if wanted is not None else targets(cells, powers or {"source": SOURCE_POWER, "lang": LANGUAGE_POWER, "topic": TOPIC_POWER})
-    goal = written(goals(cells, written(goal, "targets"), kept), "goals")
-    chances = rates(cells, goal, kept, rounds)
+    powers = powers or {"source": SOURCE_POWER, "lang": LANGUAGE_POWER, "topic": TOPIC_POWER}
+    goal = written(wanted if wanted is not None else targets(cells, powers), "targets")
+    if max(sizes.count(), goal.count()) * CELL_BYTES <= common.BROADCAST_BYTES:
+        # cells that would be broadcast are raked in memory, in one step; beyond, as tables
+        rows_ = [tuple(r) for r in cells.select(*MARGINS, "tokens").collect()]
+        by_margin: dict[str, dict[str, float]] = {}
+        for margin, value, target in goal.select("margin", "value", "target").collect():
+            by_margin.setdefault(margin, {})[value] = target
+        p, found = solved(sorted(rows_), by_margin, kept, rounds)
+        spark = documents.sparkSession
+        chances = spark.createDataFrame([(*c, float(x)) for c, x in zip(sorted(rows_), p, strict=True)], "source string, lang string, topic string, tokens long, probability double")
+        goal = spark.createDataFrame(found, "margin string, value string, tokens long, target double, goal double")
+    else:
+        goal = written(goals(cells, goal, kept), "goals")
+        chances = rates(cells, goal, kept, rounds)
     missed = written(unmet(chances, goal, kept), "unmet")
     if n := missed.count():
         worst = missed.orderBy(F.desc(F.abs(F.col("share") - F.col("target")))).limit(10).collect()
         LOG.warning("%d values miss their target share of tokens; furthest: %s", n, [(r.margin, r.value, round(r.target, 6), round(r.share, 6)) for r in worst])
     named = chances.join(sizes.drop("tokens"), list(MARGINS)).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("probability").alias("_probability"), "docs")
     by = [c.alias(f"_{m}") for c, m in zip(cell, MARGINS, strict=True)]
-    joined = matched(rows.select("*", *by), written(named, "rates"), [f"_{m}" for m in MARGINS], 120, "docs", F.xxhash64("doc_id", "n_tokens"))
+    joined = matched(rows.select("*", *by), written(named, "rates"), [f"_{m}" for m in MARGINS], CELL_BYTES, "docs", F.xxhash64("doc_id", "n_tokens"))
     chance = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit("mix"))).otherwise(F.xxhash64("doc_id", F.lit("mix"))), F.lit(1 << 30)) / float(1 << 30)
     probability = F.coalesce("_probability", F.lit(1.0))
     return joined.select(*names, "topic", "n_tokens", F.round(probability, 9).alias("probability"), (chance < probability).alias("sampled"))
