@@ -83,7 +83,13 @@ class Encoder:
                 self._learn(fresh)
                 fresh, size = [], 0
         self._learn(fresh)
-        return [b"".join([ids if (ids := known.get(w)) is not None else self._long(w) for w in words]) for words in split]
+        out = []
+        for words in split:
+            got = list(map(known.get, words))
+            if None in got:
+                got = [g if g is not None else self._long(w) for g, w in zip(got, words, strict=True)]
+            out.append(b"".join(got))
+        return out
 
     def _long(self, word: bytes) -> bytes:
         return b"".join([self._encode([part])[0] for part in cut_word(word)])
