@@ -41,7 +41,7 @@ LEVEL = 3
 END_ID = 2
 #: Bytes of one Python worker's table (with OVERHEAD for each entry), bytes and
 #: words that the library encodes at once, bytes of text that are split at once.
-TABLE, OVERHEAD, BYTES_AT_ONCE, AT_ONCE, SLICE = 192 << 20, 200, 1 << 18, 4_096, 2 << 20
+TABLE, OVERHEAD, BYTES_AT_ONCE, AT_ONCE, SLICE = 224 << 20, 200, 1 << 18, 4_096, 2 << 20
 #: Longer words aren't remembered.
 REMEMBERED = 64
 
