@@ -85,10 +85,10 @@ class Encoder:
         self._learn(fresh)
         out = []
         for words in split:
-            got = list(map(known.get, words))
-            if None in got:
-                got = [g if g is not None else self._long(w) for g, w in zip(got, words, strict=True)]
-            out.append(b"".join(got))
+            try:
+                out.append(b"".join(map(known.__getitem__, words)))
+            except KeyError:  # a long word
+                out.append(b"".join([ids if (ids := known.get(w)) is not None else self._long(w) for w in words]))
         return out
 
     def _long(self, word: bytes) -> bytes:
